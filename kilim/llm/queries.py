@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilim.llm import bpe
+from kilim.llm import bpe, quality
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p10_profiles(spark: SparkSession, d: str) -> quality.Profiles:
+    return quality.profiles_of(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p10_stats")
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), p10_profiles(spark, d))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.statistics(table(spark, d, "documents"), p10_profiles(spark, d))
+    return s.where("kind is not null and kind <> 'prose'").select("doc_id", "kind").distinct()
