@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kilim.llm import bpe, quality
+from kilim.llm import bpe, garble, lookalike, quality
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,35 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     s = quality.statistics(table(spark, d, "documents"), p10_profiles(spark, d))
     return s.where("kind is not null and kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def texts(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """(table_name, rec_id, text) of the given tables, repeated rows once."""
+    column = {"datasets": ("dataset_id", "source_text"), "gold_rows": ("row_id", "item"), "token_rows": ("row_id", "token"), "documents": ("doc_id", "text")}
+    out = None
+    for n in names:
+        rec, text = column[n]
+        part = table(spark, d, n).select(F.lit(n).alias("table_name"), F.col(rec).alias("rec_id"), F.col(text).alias("text")).where("text is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.findings(texts(spark, d, "datasets", "gold_rows"), ("gold_rows",)).select("table_name", "rec_id").distinct()
+
+
+@query("p4_restored")
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    t = texts(spark, d, "datasets", "gold_rows")
+    return garble.restored_texts(t, garble.findings(t, ("gold_rows",)))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.forms(texts(spark, d, "gold_rows", "token_rows")).select("table_name", "rec_id").distinct()
+
+
+@query("p5_forms")
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.forms(texts(spark, d, "gold_rows", "token_rows"))
