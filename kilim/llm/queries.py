@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilim.llm import bpe, garble, lookalike, quality
+from kilim.llm import bpe, garble, lookalike, personal, quality
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_forms")
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.forms(texts(spark, d, "gold_rows", "token_rows"))
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(texts(spark, d, "datasets", "gold_rows"), table(spark, d, "given_names"), ("gold_rows",))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_spans(spark, d).select("table_name", "rec_id", F.col("type").alias("pii_type")).distinct()
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(texts(spark, d, "datasets", "gold_rows"), p3_spans(spark, d))
