@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilim.llm import bpe, garble, lookalike, personal, quality
+from kilim.llm import bpe, garble, lookalike, overlap, personal, quality
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_redacted")
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(texts(spark, d, "datasets", "gold_rows"), p3_spans(spark, d))
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "block_records").select(F.col("block_index").alias("key"), "split", "text").where("text is not null")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    p = overlap.record_pairs(blocks(spark, d))
+    return p.where("eval_key <> train_key").select(F.least("eval_key", "train_key").alias("block_index_a"), F.greatest("eval_key", "train_key").alias("block_index_b")).distinct()
+
+
+@query("p1_report")
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source: evaluation blocks, and how many of them also stand in training."""
+    hit = overlap.overlapped(blocks(spark, d)).select(F.col("key").alias("block_index"), "containment")
+    b = table(spark, d, "block_records").where("split in ('dev', 'test')").select("split", "source_id", "block_index").distinct()
+    return b.join(hit, "block_index", "left").groupBy("split", "source_id").agg(F.count("*").alias("n_blocks"), F.count("containment").alias("n_overlapping"), F.avg("containment").alias("mean_containment"))
