@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilim.llm import bpe, garble, lookalike, overlap, personal, quality
+from kilim.llm import bpe, garble, lookalike, overlap, personal, quality, splits
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,31 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     hit = overlap.overlapped(blocks(spark, d)).select(F.col("key").alias("block_index"), "containment")
     b = table(spark, d, "block_records").where("split in ('dev', 'test')").select("split", "source_id", "block_index").distinct()
     return b.join(hit, "block_index", "left").groupBy("split", "source_id").agg(F.count("*").alias("n_blocks"), F.count("containment").alias("n_overlapping"), F.avg("containment").alias("mean_containment"))
+
+
+def block_components(spark: SparkSession, d: str) -> DataFrame:
+    return splits.components(splits.edges(table(spark, d, "gold_rows"), "block_index", ("author_id", "source_id", "entity_key")))
+
+
+def delivered_splits(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.col("block_index").alias("record"), "split") for t in ("block_records", "scoreable_rows")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    c = splits.conflicts(block_components(spark, d), delivered_splits(spark, d))
+    return c.select(F.col("component").alias("group_block_index"), F.col("record").alias("block_index"))
+
+
+@query("p2_split")
+def p2_split(spark: SparkSession, d: str) -> DataFrame:
+    """A new split per block, from nothing."""
+    return splits.assign(block_components(spark, d)).select(F.col("record").alias("block_index"), F.col("component").alias("group_block_index"), "split")
+
+
+@query("p2_kept")
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered splits as the existing ones: kept, quarantined in conflict, filled up."""
+    s = splits.assign(block_components(spark, d), previous=delivered_splits(spark, d))
+    return s.select(F.col("record").alias("block_index"), F.col("component").alias("group_block_index"), "split")
