@@ -1,0 +1,12 @@
+"""Helpers of the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is bound by the
+    CPU: a scan of a few large files would leave most of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

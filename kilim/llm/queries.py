@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilim.llm import bpe, garble, lookalike, overlap, personal, quality, splits
+from kilim.llm import bpe, garble, leakage, lookalike, overlap, personal, quality, splits
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,13 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     """The delivered splits as the existing ones: kept, quarantined in conflict, filled up."""
     s = splits.assign(block_components(spark, d), previous=delivered_splits(spark, d))
     return s.select(F.col("record").alias("block_index"), F.col("component").alias("group_block_index"), "split")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p9_passages")
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
