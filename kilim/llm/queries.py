@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilim.llm import bpe, garble, leakage, lookalike, overlap, personal, quality, splits
+from kilim.llm import bpe, garble, language, leakage, lookalike, overlap, personal, quality, splits
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,47 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_passages")
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def judged_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang")
+    model = language.sentence_model(docs, table(spark, d, "eval_items"))
+    return language.document_languages(docs, model, p10_profiles(spark, d))
+
+
+def labelled_words(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, form, label) of the token rows of gold_rows."""
+    g = table(spark, d, "gold_rows").where("trim(token) <> '' and trim(item) <> '' and item <> 'REDACTED'")
+    return g.select(F.col("row_id").alias("rec_id"), language.folded(F.col("item")).alias("form"), "label")
+
+
+def wrong_words(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, rec_id, lang, confidence) of plain words whose label is missing or wrong."""
+    gold = labelled_words(spark, d)
+    forms, _ = language.plain_forms(gold.select("form", "label"), table(spark, d, "lexicon"))
+    score = table(spark, d, "scoreable_rows").where("trim(text) <> '' and text <> 'REDACTED'").select(F.col("gold_token_id").alias("rec_id"), language.folded(F.col("text")).alias("form"), F.col("ft_lang").alias("label"))
+    rows = gold.select(F.lit("gold_rows").alias("table_name"), "*").unionByName(score.select(F.lit("scoreable_rows").alias("table_name"), "*"))
+    rows = rows.withColumn("said", F.lower(F.trim("label")))
+    # what a name, mixed or unknown word is called is not put in doubt by the word's look alone
+    named = F.coalesce(F.col("said").isin("ne", "mixed", "uid", "other"), F.lit(False))
+    j = rows.where(F.col("form").rlike(language.PLAIN)).join(forms, "form").where("said is null or said <> lang").where(~named | F.col("borne"))
+    return j.select("table_name", "rec_id", "lang", "confidence").distinct()
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = language.wrong_documents(judged_documents(spark, d)).select(F.lit("documents").alias("table_name"), F.col("key").alias("rec_id"), "lang")
+    return docs.unionByName(wrong_words(spark, d).select("table_name", "rec_id", "lang")).distinct()
+
+
+@query("p6_documents")
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and mixed segments of every document."""
+    return judged_documents(spark, d).select(F.col("key").alias("doc_id"), "lang", "confidence", "segments")
+
+
+@query("p6_words")
+def p6_words(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every plain word form."""
+    forms, _ = language.plain_forms(labelled_words(spark, d).select("form", "label"), table(spark, d, "lexicon"))
+    return forms.select("form", "lang", "confidence")
