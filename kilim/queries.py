@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from kilim.operators import gold_grammar as gg
+from kilim.plans import annotation  # noqa: F401
+from kilim.plans.registry import QUERIES, SQL, query  # noqa: F401
 from kilim.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # The grammar of one record as patterns; FIELD is a quoted or a plain field.
 FIELD = """(?:"(?:[^"]|"")*"|[^",]*)"""
 P7_SQL = rf"""
