@@ -153,6 +153,15 @@ def informal_any(table: dict[str, str], informal: bool) -> str:
     return "|".join(order)
 
 
+def verbal_pattern(level: str, informal: bool = False) -> str:
+    """Pattern on the reversed suffix: (agreement and tense, or infinitive), (passive or
+    verbalizer), (leftover)."""
+    agr, ten = LEVELS[level]
+    a, t, i = (informal_any(x, informal) for x in (agr, ten, by_suffix(INFINITIVE)))
+    finite = f"(?:(?:{a})(?:{t})?)|(?:{t})|" if a and t else f"(?:{a})|" if a else ""
+    return rf"(?s)^({finite}(?:{i})|)((?:{informal_any(by_suffix(PASSIVE), informal)}|{informal_any(by_suffix(VERBALIZER), informal)})?)(.*)$"
+
+
 def verbal(suffix: Column, level: str = "4c1", informal: bool = False, plural_first: bool = False) -> Column:
     """struct(segments, tags, whole): agreement, tense, else infinitive, then passive or
     verbalizer. plural_first strips a first person plural before them. Unknown levels raise."""
@@ -165,8 +174,7 @@ def verbal(suffix: Column, level: str = "4c1", informal: bool = False, plural_fi
     r = F.reverse(s)
     head = F.regexp_extract(r, rx_plural, 1) if plural_first else F.lit("")
     r = F.substr(r, F.length(head) + 1)
-    body = rf"(?s)^((?:(?:{a})(?:{t})?)|(?:{t})|(?:{informal_any(inf, informal)})|)" if a and t else rf"(?s)^((?:{a})|(?:{informal_any(inf, informal)})|)" if a else rf"(?s)^((?:{informal_any(inf, informal)})|)"
-    rx = body + rf"((?:{informal_any(pas, informal)}|{informal_any(ver, informal)})?)(.*)$"
+    rx = verbal_pattern(level, informal)
     g1, g2, g3 = (F.regexp_extract(r, rx, i) for i in (1, 2, 3))
     if a and t:
         pieces = F.regexp_extract(g1, rf"^((?:{a})?)", 1)
