@@ -169,3 +169,12 @@ def gold_pred_align(spark: SparkSession, d: str) -> DataFrame:
     out = g.where(F.col("gold_token_id") % 89 == 0).select("gold_token_id").distinct()
     rows, _ = al.align(g, p, tokens_out=out)
     return rows.select("block_index", "gold_token_id", "gold_item", "pred_item", "gold_label", "is_redacted", "target")
+
+
+@query("train_reranker")
+def train_reranker(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds chosen on the dev split for a reranker trained on the train split."""
+    from kilim.operators import train as tr
+
+    s = scored(spark, d).drop("prob").withColumn("token_length", F.length("text"))
+    return tr.fit_and_report(s, most_iter=20)[1]

@@ -12,6 +12,7 @@ from kilim.operators import labeling as lab
 from kilim.operators import rerank as rr
 from kilim.plans.annotation import VOTES, corpus, corpus_tokens, low, lookups, q, sql_any, sql_cut, sql_labels, sql_map, sql_nominal_analysis, sql_shape
 from kilim.plans.registry import query
+from kilim.session import cut
 
 CONTRACTION = sql_any(low("apo[2]"), ["s", "re", "ve", "m", "ll", "d", "t"])
 FUSED = [s[::-1] for s, tag in m.by_suffix(m.FIRST_SINGULAR).items() if "|" in tag]
@@ -177,4 +178,4 @@ def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query("review_queue", f"with {CONF_ALL} select doc_id, sent_no, pos, token, label from cs where score < 0.85::double and label in ('EN', 'MIXED')")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return conf.review_queue(confident(spark, d), labels=("EN", "MIXED")).select("doc_id", "sent_no", "pos", "token", "label")
+    return conf.review_queue(cut(confident(spark, d)), labels=("EN", "MIXED")).select("doc_id", "sent_no", "pos", "token", "label")
