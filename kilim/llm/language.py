@@ -37,12 +37,14 @@ WORD_CLASSES = ("tr", "en", "other")
 MOST_TRAINED = 20_000
 """Rows a model is trained on at most; sentences are taken from at most a fifth as many documents."""
 BUCKETS, WIDTH, BATCH = 1 << 15, 24, 256
-SENTENCE_SGD, WORD_SGD = (4, 1.0), (30, 2.0)
+FILTER_SGD, SENTENCE_SGD, WORD_SGD = (2, 1.0), (4, 1.0), (30, 2.0)
 """Rounds over the sample, and the rate at the start."""
 LEAST_STEPS = 400
 """A small sample is gone over in more rounds, so that there are so many steps."""
 PRECISION = 0.99
-SENTENCES = 3
+SENTENCES, SURE = 3, 0.9
+"""Whole sentences of a language that make a document mixed, and the confidence from which a
+sentence counts where the model's own asks for more."""
 FORM_LEAST, FORM_AGREE = 3, 0.6
 """Occurrences of a word form, and the share of one label among them, to learn from it."""
 CACHED = 200_000
@@ -236,7 +238,7 @@ def judge(texts: list[str | None], model: Model) -> list[Verdict]:
         size = np.array([len(w) for w in ws])
         mean = (q * size[:, None]).sum(axis=0) / size.sum()
         best = q.argmax(axis=1)
-        sure = (q.max(axis=1) >= model.least) & (size >= 4)
+        sure = (q.max(axis=1) >= min(model.least, SURE)) & (size >= 4)
         count = Counter(best[sure].tolist())
         mixed = [model.classes[k] for k, n in sorted(count.items()) if n >= SENTENCES]
         runs: list[list] = []
@@ -273,7 +275,7 @@ def sentence_model(docs: DataFrame, clean: DataFrame | None = None, seed: int =
                 labels.append(LANGUAGES.index(r.lang))
     pick = np.random.default_rng(seed).permutation(len(texts))[:MOST_TRAINED]
     texts, y = [texts[i] for i in pick], np.array([labels[i] for i in pick], dtype=int)
-    first = Model(LANGUAGES, seed).train(texts, y, SENTENCE_SGD, seed)
+    first = Model(LANGUAGES, seed).train(texts, y, FILTER_SGD, seed)
     if not len(y):
         return first
     p = first.probabilities(texts)

@@ -55,7 +55,7 @@ def test_spellings(spark):
 def test_documents(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(sentence(rng, k) for _ in range(4)), k) for i, k in enumerate(g.LANGUAGES * 40)]
-    rows += [(1000, rows[0][1], "en"), (1000, rows[0][1], "en"), (1001, rows[1][1], None), (1002, rows[2][1], "German"), (1003, None, None), (1004, " ", "xx"), (1005, rows[0][1] + "\n" + rows[3][1], "tr")]
+    rows += [(1000, rows[0][1], "en"), (1000, rows[0][1], "en"), (1001, rows[1][1], None), (1002, rows[2][1], "German"), (1003, None, None), (1004, " ", "xx"), (1005, rows[5][1] + "\n" + rows[8][1], "tr")]
     df = spark.createDataFrame(rows, "key long, text string, lang string")
     model = g.sentence_model(df)
     common = frozenset(w for ws in WORDS.values() for w in ws)
