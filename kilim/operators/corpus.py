@@ -241,3 +241,64 @@ def next_name(names: DataFrame, name: str = "name") -> DataFrame:
     """(next_name): Data N with N one above the highest in use."""
     n = F.try_to_number(F.nullif(F.regexp_extract(F.col(name), r"^\s*Data (\d{1,9})\s*$", 1), F.lit("")), F.lit("999999999")).cast("long")
     return names.agg(F.concat(F.lit("Data "), (F.coalesce(F.max(n), F.lit(0)) + 1).cast("string")).alias("next_name"))
+
+
+CELLS = ("token", "label", "gloss")
+
+
+def apply_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows with pasted or cleared cells (keys, ridx, col, value; col 1 to 3 for token, label and
+    gloss) put in; the number column 0 is protected, a null value clears, and MatrixLang and
+    EmbedLang rows take only TR or EN as label. Of several values for a cell the greatest counts."""
+    c = cells.where(F.col("col").isin(1, 2, 3)).withColumn("value", F.coalesce("value", F.lit("")))
+    wide = c.groupBy(*KEYS, "ridx").agg(*[F.max(F.when(F.col("col") == i, F.col("value"))).alias(f"__{n}") for i, n in enumerate(CELLS, start=1)])
+    j = rows.join(wide, [*KEYS, "ridx"], "left")
+    locked = t.strip(F.col("token")).isin("MatrixLang", "EmbedLang") & ~F.coalesce(F.col("__label").isin("TR", "EN"), F.lit(False))
+    label = F.when(F.coalesce(locked, F.lit(False)), F.col("label")).otherwise(F.coalesce("__label", "label"))
+    return j.withColumns({"label": label, "token": F.coalesce("__token", "token"), "gloss": F.coalesce("__gloss", "gloss")}).drop(*[f"__{n}" for n in CELLS])
+
+
+def add_column(rows: DataFrame, name: str, extras: str = "extras") -> DataFrame:
+    """rows with an empty column `name` in the map of extra columns; blank names, names with a
+    tab or line end, and names in use raise."""
+    known = {"idx", *CELLS}
+    if not name.strip() or any(c in name for c in "\t\r\n"):
+        raise ValueError(f"not a column name: {name!r}")
+    if name.strip() in known:
+        raise ValueError(f"column exists: {name!r}")
+    old = F.coalesce(F.col(extras), F.create_map().cast("map<string,string>")) if extras in rows.columns else F.create_map().cast("map<string,string>")
+    new = F.when(F.map_contains_key(old, name.strip()), F.raise_error(F.lit(f"column exists: {name.strip()}")).cast("map<string,string>")).otherwise(F.map_concat(old, F.create_map(F.lit(name.strip()), F.lit(""))))
+    return rows.withColumn(extras, new)
+
+
+def correct_segmentation(rows: DataFrame, corrections: DataFrame) -> DataFrame:
+    """rows with `segmentation` (root, segments, source, success) from corrections (token, root,
+    text), applied to all occurrences of the token in its compared form; a correction that
+    doesn't give the token back is marked as no success. Rows without one keep what they have."""
+    form = t.match_form(F.col("token"))
+    seg = t.manual_segments(F.coalesce("text", F.lit("")), F.col("token"))
+    c = corrections.select(form.alias("__f"), F.struct(seg["root"].alias("root"), seg["segments"].alias("segments"), F.lit("manual").alias("source"), seg["success"].alias("success")).alias("__s")).groupBy("__f").agg(F.max_by("__s", F.to_json("__s")).alias("__s"))
+    j = rows.withColumn("__f", form).join(c, "__f", "left")
+    old = F.col("segmentation") if "segmentation" in rows.columns else F.lit(None).cast("struct<root:string,segments:array<string>,source:string,success:boolean>")
+    return j.withColumn("segmentation", F.coalesce("__s", old)).drop("__f", "__s")
+
+
+def undo(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """rows with the state before the last edit of each row in log (keys, ridx, n, label, gloss)."""
+    last = log.groupBy(*KEYS, "ridx").agg(F.max_by(F.struct("label", "gloss"), "n").alias("__u"))
+    j = rows.join(last, [*KEYS, "ridx"], "left")
+    hit = F.col("__u").isNotNull()
+    return j.withColumns({"label": F.when(hit, F.col("__u.label")).otherwise(F.col("label")), "gloss": F.when(hit, F.col("__u.gloss")).otherwise(F.col("gloss"))}).drop("__u")
+
+
+def complete_votes(rows: DataFrame) -> DataFrame:
+    """rows with a MatrixLang row, by plain counts of TR and EN, before the EmbedLang row of
+    sentences that have the latter but not the former."""
+    tok, lab = t.strip(F.col("token")), t.strip(F.col("label"))
+    n = lambda c: F.count(F.when(c, 1))
+    g = rows.groupBy(*KEYS).agg(n(tok == "MatrixLang").alias("m"), F.min(F.when(tok == "EmbedLang", F.col("ridx"))).alias("at"), n((lab == "TR") & ~t.is_meta(F.col("token"))).alias("tr"), n((lab == "EN") & ~t.is_meta(F.col("token"))).alias("en"))
+    lacking = g.where("m = 0 and at is not null").select(*KEYS, F.col("at").alias("ridx"), F.when(F.col("tr") >= F.col("en"), "TR").otherwise("EN").alias("__v"))
+    with_blank = insert_before(rows, lacking)
+    j = with_blank.join(lacking, [*KEYS, "ridx"], "left")
+    hit = F.col("__v").isNotNull() & (F.col("token") == "")
+    return j.withColumns({"token": F.when(hit, "MatrixLang").otherwise(F.col("token")), "label": F.when(hit, F.col("__v")).otherwise(F.col("label"))}).drop("__v")

@@ -111,3 +111,18 @@ def write(rows: DataFrame, path: str, kind: str, names: DataFrame | None = None)
         renumber(rows).select("dataset_id", "bidx", "ridx", "idx", "token", "label", "gloss").sortWithinPartitions("bidx", "ridx").write.partitionBy("dataset_id").csv(path, header=True)
     else:
         raise ValueError(f"unknown export format: {kind}")
+
+
+def grid_text(view: DataFrame, cells: str = "cells", order: str = "vis_r") -> DataFrame:
+    """(dataset_id, text) of a grid: cells (idx, then the columns) joined by tabs, a blank idx left
+    out, blank cells at the end trimmed, blank rows as blank lines, none at the end."""
+    c = F.transform(F.col(cells), lambda x: F.coalesce(x, F.lit("")))
+    body = F.when(t.strip(F.get(c, F.lit(0))) == "", F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.concat(F.array(t.strip(F.get(c, F.lit(0)))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))))
+    ln = F.regexp_replace(F.array_join(body, "\t"), r"(?:(?:^|\t)[\s]*)+$", "")
+    return view.select("dataset_id", order, ln.alias("line")).groupBy("dataset_id").agg(F.regexp_replace(joined("line", [order], "\n"), r"\n+$", "").alias("text"))
+
+
+def write_frequencies(frequencies: DataFrame, path: str) -> None:
+    """Token, Frequency, LabelBreakdown as CSV, most frequent first, then by token."""
+    f = frequencies.select(F.col("token").alias("Token"), F.col("n").alias("Frequency"), F.col("breakdown").alias("LabelBreakdown"))
+    f.orderBy(F.desc("Frequency"), "Token").write.csv(path, header=True)

@@ -9,6 +9,7 @@ from kilim.functions import morphology as m
 from kilim.functions import text as t
 from kilim.operators import labeling as lab
 from kilim.plans.registry import query
+from kilim.session import spread
 from kilim.sources.tables import table
 
 
@@ -83,7 +84,7 @@ def lookups(spark: SparkSession, d: str) -> lab.Lookups:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:

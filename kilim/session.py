@@ -59,6 +59,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work bound by the CPU: a scan
+    of a few large files would leave most of them idle. No shuffle where there are enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and drop its lineage; survives lost executors."""
     shared_dir(df.sparkSession)

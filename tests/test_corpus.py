@@ -115,3 +115,34 @@ def test_projects(spark):
     for bad in ('{"version": "two"}', '{"version": 2.5, "datasets": []}', '{"version": null}', '{"version": true}', '{"version": 0}', '{"version": 3}', '{"version": 2}', '{"version": 2, "datasets": []}', '{"version": 2, "datasets": [{}]}', "[]", "nope", '{"version": 1, "datasets": []}'):
         with pytest.raises(Exception, match="project|dataset"):
             load(bad).collect()
+
+
+def test_cells_and_columns(spark, rows):
+    cells = spark.createDataFrame([("a", 0, 1, 1, "yeni"), ("a", 0, 1, 3, None), ("a", 0, 5, 2, "UID"), ("a", 0, 1, 0, "7")], "dataset_id string, bidx int, ridx int, col int, value string")
+    got = {(r.bidx, r.ridx): r for r in c.apply_cells(rows, cells).collect()}
+    assert (got[0, 1].token, got[0, 1].gloss, got[0, 5].label, len(got)) == ("yeni", "", "TR", 12)
+    wide = c.add_column(rows, "note")
+    assert wide.first().extras == {"note": ""}
+    for bad in (" ", "a\tb", "token"):
+        with pytest.raises(ValueError):
+            c.add_column(rows, bad)
+    with pytest.raises(Exception, match="exists"):
+        c.add_column(wide, "note").collect()
+
+
+def test_segmentation_and_undo(spark, rows):
+    fix = spark.createDataFrame([("Think!", None, "thin+k"), ("bugun", None, "x+y")], "token string, root string, text string")
+    got = [(r.token, r.segmentation) for r in c.correct_segmentation(rows, fix).where("segmentation is not null").collect()]
+    assert len(got) == 4 and all(s.source == "manual" for _, s in got)
+    log = spark.createDataFrame([("a", 0, 3, 1, "UID", "old"), ("a", 0, 3, 2, "EN", "newer")], "dataset_id string, bidx int, ridx int, n int, label string, gloss string")
+    assert c.undo(rows, log).where("bidx = 0 and ridx = 3").first().gloss == "newer"
+    bare = spark.createDataFrame([("a", 0, 0, "x", "EN", ""), ("a", 0, 1, "EmbedLang", "-", ""), ("a", 1, 0, "y", "TR", "")], SCHEMA)
+    done = [(r.bidx, r.ridx, r.token, r.label) for r in c.complete_votes(bare).orderBy("bidx", "ridx").collect()]
+    assert done == [(0, 0, "x", "EN"), (0, 1, "MatrixLang", "EN"), (0, 2, "EmbedLang", "-"), (1, 0, "y", "TR")]
+
+
+def test_grid_text(spark, rows, tmp_path):
+    v = spark.createDataFrame([("a", 0, ["1", "kitap", "TR", "", None]), ("a", 1, [" ", "MatrixLang", "TR", ""]), ("a", 2, ["", "", ""]), ("a", 3, ["2", "x", "", "g"]), ("a", 4, ["", None])], "dataset_id string, vis_r int, cells array<string>")
+    assert x.grid_text(v).first().text == "1\tkitap\tTR\nMatrixLang\tTR\n\n2\tx\t\tg"
+    x.write_frequencies(c.word_frequencies(rows), f"{tmp_path}/f")
+    assert spark.read.csv(f"{tmp_path}/f", header=True).columns == ["Token", "Frequency", "LabelBreakdown"]
