@@ -10,7 +10,7 @@ from kilim.operators import dictionary as dic
 from kilim.operators import parser as ps
 from kilim.plans.annotation import low, lookups, q, sql_labels
 from kilim.plans.registry import query
-from kilim.plans.rerank import CANDS, FORMS, forms, sql_candidates, sql_cut, sql_groups
+from kilim.plans.rerank import FORMS, forms, sql_candidates, sql_cut, sql_groups
 from kilim.sources.tables import table
 
 ENDS = ps.endings()

@@ -10,7 +10,7 @@ from kilim.functions import text as t
 from kilim.operators import confidence as conf
 from kilim.operators import labeling as lab
 from kilim.operators import rerank as rr
-from kilim.plans.annotation import VOTES, corpus, corpus_tokens, low, lookups, q, sql_any, sql_cut, sql_labels, sql_map, sql_nominal_analysis, sql_shape
+from kilim.plans.annotation import VOTES, corpus, corpus_tokens, low, lookups, q, sql_any, sql_cut, sql_labels, sql_map, sql_nominal_analysis
 from kilim.plans.registry import query
 from kilim.session import cut
 

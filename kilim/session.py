@@ -59,11 +59,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for work bound by the CPU: a scan
-    of a few large files would leave most of them idle. No shuffle where there are enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, waves: int = 1) -> DataFrame:
+    """df over at least `waves` partitions for each core, for work bound by the CPU: a scan of a
+    few large files would leave most cores idle, or all but the last waiting. No shuffle where
+    there are enough."""
+    least = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 def cut(df: DataFrame) -> DataFrame:
