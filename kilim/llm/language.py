@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilim.llm import quality
-from kilim.llm.common import spread
-from kilim.session import cut
+from kilim.session import cut, spread
 
 LANGUAGES = ("tr", "en", "de", "fr", "es")
 WORD_CLASSES = ("tr", "en", "other")

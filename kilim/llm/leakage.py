@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilim.llm.common import spread
 from kilim.llm.overlap import words
+from kilim.session import spread
 
 LEAST, CHANGED = 15, 0.1
 WINDOW, STEP, SHIFT = 15, 4, 4
@@ -230,7 +230,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
             out += hits(pending, index, owner, offset, arrays, keys, threshold)
             yield pd.DataFrame(out, columns=["doc", "item", "n_words", "n_changed"])
 
-    found = spread(d).mapInPandas(search, f"doc {kind[0]}, item {kind[1]}, n_words int, n_changed int")
+    found = spread(d, waves=4).mapInPandas(search, f"doc {kind[0]}, item {kind[1]}, n_words int, n_changed int")
     best = found.groupBy("doc", "item").agg(F.max(F.struct("n_words", (-F.col("n_changed")).alias("c"))).alias("m"))
     return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), F.col("m.n_words").alias("n_words"), (-F.col("m.c")).alias("n_changed"))
 
