@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kilim.operators import gold_grammar as gg
-from kilim.plans import annotation, corpus, evaluation, lexical, rerank  # noqa: F401
+from kilim.plans import annotation, corpus, evaluation, lexical, rerank, stream  # noqa: F401
 from kilim.plans.registry import QUERIES, SQL, query  # noqa: F401
 from kilim.sources.tables import table
 
