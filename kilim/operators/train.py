@@ -7,20 +7,66 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilim.operators import evaluate as ev
+from kilim.operators import rerank as rr
+from kilim.operators.labeling import Lookups
 
-NGRAMS, VOCABULARY = (2, 3, 4, 5), 20_000
-"""Terms of each n-gram vocabulary, the most frequent."""
+NGRAMS, MOST_ITER = (2, 3, 4, 5), 5000
+VOCABULARY = 2**31 - 1
+"""No limit: Spark takes the number of n-grams counted where that is less."""
 CONTRACT = ("features", "threshold", "policy", "model")
+CATEGORICAL = ("pred_label", "ft_lang", "stem_evidence_strength", "analysis_source", "reason")
+NUMERIC = (
+    "token_length", "has_apostrophe", "has_hyphen", "has_digit", "is_capitalized", "all_uppercase", "has_turkish_letter", "in_tr_top", "in_tr_all", "in_en", "ft_prob", "is_ne",
+    "stem_length", "suffix_length", "suffix_segment_count", "fully_consumed_suffix", "stem_in_tr_top", "stem_in_tr_all", "stem_in_en",
+    "is_candidate", "split_position_ratio", "ft_prob_delta", "ft_lang_agreement", "analysis_candidate_count", "nominal_verbal_competition",
+)
+"""The structured features of the reference's frozen model, but for those that are constant here."""
+
+
+def structured(gated: DataFrame, look: Lookups) -> DataFrame:
+    """gated (token, label, ft_lang, ft_prob, ...) with CATEGORICAL and NUMERIC. No identifier has
+    seen the stems, so that their language is NONE with probability 0."""
+    tok = F.col("token")
+    f = rr.features(gated, look)
+    lang = F.when(F.col("ft_lang") != "", F.col("ft_lang")).otherwise("NONE")
+    prob = F.coalesce(F.col("ft_prob"), F.lit(0.0))
+    return f.withColumns({
+        "pred_label": F.col("label"), "is_ne": F.col("label") == "NE", "all_uppercase": tok.rlike(r"\p{Lu}") & ~tok.rlike(r"\p{Ll}|\p{Lt}"),
+        "ft_lang": lang, "ft_prob": prob, "ft_prob_delta": -prob, "ft_lang_agreement": lang == "NONE",
+    })
+
+
+def dataset(rows: DataFrame, look: Lookups) -> DataFrame:
+    """rows (text, pred_label, ft_lang, ft_prob, ...) with CATEGORICAL and NUMERIC; candidates are
+    analysed once per distinct text and label."""
+    g = rr.gate(rows.select(F.col("text").alias("token"), F.col("pred_label").alias("label")).distinct(), look)
+    r = rows.drop("is_candidate", "candidate_reason").withColumnsRenamed({"text": "t", "pred_label": "l"})
+    j = r.join(g, F.col("t").eqNullSafe(F.col("token")) & F.col("l").eqNullSafe(F.col("label")), "left")
+    return structured(j, look).withColumnRenamed("t", "text").drop("l", "token", "label", "analysis", "flags", "candidate_reason")
+
+
+def scorer(model: PipelineModel, look: Lookups):
+    """The model as rerank.passes takes it: a function of gated rows that adds prob."""
+
+    def run(gated: DataFrame) -> DataFrame:
+        lid = {c: F.lit(None).cast(k) for c, k in (("ft_lang", "string"), ("ft_prob", "double")) if c not in gated.columns}
+        s = structured(gated.withColumn("row", F.struct(*gated.columns)).withColumns(lid), look)
+        s = s.select("row", F.col("token").alias("text"), F.lit(None).cast("int").alias("target"), *CATEGORICAL, *NUMERIC)
+        return predict(model, s).select("row.*", "prob")
+
+    return run
 
 
 def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    chars = F.filter(F.split(F.lower(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" "))), ""), lambda c: c != "")
+    low = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s\s+", " ")
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
     return df.withColumns({"chars": chars, "label_d": F.coalesce(F.col("target").cast("double"), F.lit(0.0))})
 
 
@@ -31,14 +77,21 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n), "label_d").join(F.broadcast(total)).withColumn("weight", F.col("nt") / (2 * F.col("nc"))).drop("nc", "nt")
 
 
-def pipeline(n: int, categorical: tuple[str, ...], numeric: tuple[str, ...], least_df: int = 2, most_iter: int = 100) -> Pipeline:
-    """n: training rows, as the penalty is 1 / n. Rare n-grams are left out of the vocabulary."""
-    stages, parts = [], []
+def vectors(rows: DataFrame) -> list:
+    """Fitted stages that give tfn, the normed TF-IDF of all character n-grams of the rows."""
+    stages = []
     for k in NGRAMS:
-        stages += [NGram(n=k, inputCol="chars", outputCol=f"g{k}"), CountVectorizer(inputCol=f"g{k}", outputCol=f"c{k}", vocabSize=VOCABULARY, minDF=least_df), IDF(inputCol=f"c{k}", outputCol=f"i{k}")]
-        # the smoothed idf has one added to it: tf-idf + tf
-        parts += [f"i{k}", f"c{k}"]
-    stages += [VectorAssembler(inputCols=parts, outputCol="tf"), Normalizer(inputCol="tf", outputCol="tfn", p=2.0)]
+        stages += [NGram(n=k, inputCol="chars", outputCol=f"g{k}"), CountVectorizer(inputCol=f"g{k}", outputCol=f"c{k}", vocabSize=VOCABULARY), IDF(inputCol=f"c{k}", outputCol=f"i{k}")]
+    out = []
+    for s in Pipeline(stages=stages).fit(rows).stages:
+        # the smoothed idf has one added to it
+        out.append(ElementwiseProduct(inputCol=s.getInputCol(), outputCol=s.getOutputCol(), scalingVec=Vectors.dense(s.idf.toArray() + 1)) if hasattr(s, "idf") else s)
+    return [*out, VectorAssembler(inputCols=[f"i{k}" for k in NGRAMS], outputCol="tf"), Normalizer(inputCol="tf", outputCol="tfn", p=2.0)]
+
+
+def pipeline(n: int, categorical: tuple[str, ...], numeric: tuple[str, ...], most_iter: int = MOST_ITER) -> Pipeline:
+    """n: training rows, as the penalty is 1 / n."""
+    stages = []
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i"], outputCols=[f"{c}_v"], handleInvalid="keep")]
     if numeric:
@@ -48,11 +101,13 @@ def pipeline(n: int, categorical: tuple[str, ...], numeric: tuple[str, ...], lea
     return Pipeline(stages=stages)
 
 
-def train(rows: DataFrame, categorical: tuple[str, ...] = ("pred_label",), numeric: tuple[str, ...] = ("token_length",), most_iter: int = 100) -> PipelineModel:
+def train(rows: DataFrame, categorical: tuple[str, ...] = ("pred_label",), numeric: tuple[str, ...] = ("token_length",), most_iter: int = MOST_ITER) -> PipelineModel:
     """Fit on the rows given (the train split only)."""
     w = weighted(prepared(rows)).persist()
     try:
-        return pipeline(w.count(), categorical, numeric, most_iter=most_iter).fit(w)
+        grams = vectors(w)
+        model = pipeline(w.count(), categorical, numeric, most_iter=most_iter).fit(PipelineModel(grams).transform(w))
+        return PipelineModel([*grams, *model.stages])
     finally:
         w.unpersist()
 

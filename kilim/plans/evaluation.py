@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kilim.operators import alignment as al
 from kilim.operators import corpus as c
 from kilim.operators import evaluate as ev
+from kilim.plans.annotation import lookups
 from kilim.plans.corpus import sql_strip
 from kilim.plans.registry import query
+from kilim.session import cut
 from kilim.sources.tables import table
 
 SCORE = """sc as (select distinct on (gold_token_id) *, coalesce(ft_prob, 0) as prob, length(text) > 5 as stem_evidence from scoreable_rows order by gold_token_id, scored_at desc)"""
@@ -176,5 +178,7 @@ def train_reranker(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds chosen on the dev split for a reranker trained on the train split."""
     from kilim.operators import train as tr
 
-    s = scored(spark, d).drop("prob").withColumn("token_length", F.length("text"))
-    return tr.fit_and_report(s, most_iter=20)[1]
+    look = lookups(spark, d)
+    cols = ("gold_token_id", "pred_label", "target", "ft_lang", "ft_prob", "text", "split", "scored_at")
+    rows = c.latest(table(spark, d, "scoreable_rows").select(*cols), "gold_token_id", "scored_at")
+    return tr.fit_and_report(cut(tr.dataset(rows, look)), categorical=tr.CATEGORICAL, numeric=tr.NUMERIC)[1]
