@@ -41,9 +41,8 @@ FILTER_SGD, SENTENCE_SGD, WORD_SGD = (2, 1.0), (4, 1.0), (30, 2.0)
 LEAST_STEPS = 400
 """A small sample is gone over in more rounds, so that there are so many steps."""
 PRECISION = 0.99
-SENTENCES, SURE = 3, 0.9
-"""Whole sentences of a language that make a document mixed, and the confidence from which a
-sentence counts where the model's own asks for more."""
+SENTENCES = 3
+"""Whole sentences of a language that make a document mixed, each of the model's confidence."""
 FORM_LEAST, FORM_AGREE = 3, 0.6
 """Occurrences of a word form, and the share of one label among them, to learn from it."""
 CACHED = 200_000
@@ -237,7 +236,7 @@ def judge(texts: list[str | None], model: Model) -> list[Verdict]:
         size = np.array([len(w) for w in ws])
         mean = (q * size[:, None]).sum(axis=0) / size.sum()
         best = q.argmax(axis=1)
-        sure = (q.max(axis=1) >= min(model.least, SURE)) & (size >= 4)
+        sure = (q.max(axis=1) >= model.least) & (size >= 4)
         count = Counter(best[sure].tolist())
         mixed = [model.classes[k] for k, n in sorted(count.items()) if n >= SENTENCES]
         runs: list[list] = []
