@@ -4,13 +4,19 @@ Texts are compared as words without case, punctuation, spacing and Turkish diacr
 texts are the same if at most CHANGED of the words of the longer are added, dropped, changed
 or moved: its words outside the longest common subsequence.
 
-Equal texts form one class; the search runs between classes. Word bigrams are hashed; the
-evaluation classes' hashes are partitioned with those of the training classes and hits are
-verified, with the containment of each evaluation text in the training text. Only the rarest
-bigrams of a text need be looked up: an edit costs a text at most three bigrams, so that of
-its `lost` + 2 rarest two must be shared. Bigrams that stand in many texts aren't looked up
-alone but in pairs, which keeps postings short without dropping any pair of texts; only
-texts so short that one bigram may be all they share look up their hot ones alone too.
+Equal texts form one class; the search runs between classes. The words of a text are put in
+one order for the whole corpus, the rare ones first, and n-grams of that order are hashed: of
+two texts that are the same, at most `lost` words of each stand outside what they share. So
+either the rarest word they share is cold and stands among the first `lost` + 1 of both, and
+is looked up alone; or all they share is hot, every cold word is lost already, and one of the
+first bigrams of hot words must be whole in both (a lost word breaks one bigram, and a text
+has more than it can lose). Both kinds of keys are linear in a text's length. Evaluation keys
+are partitioned with training keys, hot keys split over salts; a parity signature of the words
+sorts out most hits inside the join, and the rest are verified by their common subsequence,
+with the containment of each evaluation text in the training text.
+
+The order comes from a histogram of hashed words of fixed size; any order gives all pairs, a
+good one gives few candidates.
 
 Nulls and texts without words have no class. Repeated rows count once.
 """
@@ -18,16 +24,25 @@ Nulls and texts without words have no class. Repeated rows count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilim.session import cut
 
-CHANGED = 0.2
+CHANGED = 5
+"""At most one word in so many is changed."""
 HOT = 200
-"""Texts from which a bigram counts as hot."""
+"""Texts from which a word counts as hot."""
+BITS = 20
+"""The histogram of hashed words has 2 ** BITS counters: the bound of what is broadcast."""
+HEAVY, SALTS = 1000, 64
+"""A key that holds more than 1 / HEAVY of the training keys is split over up to SALTS salts;
+there are fewer than HEAVY of them."""
 
 
 def words(text: Column) -> Column:
@@ -37,15 +52,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[\s ]+"), lambda w: w != "")
 
 
-def most_lost(n: Column) -> Column:
-    """How many bigrams a text of n words can lack in another one that is the same.
+@lru_cache(maxsize=None)
+def reach(n: int, cold: int) -> int:
+    """Among how many of its first hot words a text of n words, `cold` of them cold, must share
+    a bigram with any text that is the same and shares only hot words; 0 if there can be none.
 
-    With m words in the longer text and k = floor(m / 5) edits, each edit breaks at most three
-    bigrams (a moved word two where it was and one where it goes), less two for each word by
-    which the other text is longer.
+    m is the longer text's length: this text lacks at most n - m + m // CHANGED words of the
+    other, the other m // CHANGED of this one, and each breaks one bigram.
     """
-    options = F.transform(F.sequence(n, F.floor(n / (1 - CHANGED)).cast("int")), lambda m: 3 * F.floor(m * CHANGED + 1e-9).cast("int") - 2 * (m - n))
-    return F.greatest(F.lit(0), F.array_max(options))
+    m = np.arange(n, n * CHANGED // (CHANGED - 1) + 1)
+    theirs = m // CHANGED
+    mine = n - m + theirs - cold
+    fits = mine >= 0
+    return int((2 * mine + theirs + 2)[fits].max(initial=0))
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of two 64-bit numbers."""
+    x = (a.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) + np.asarray(b, dtype=np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def keys_of(ws: np.ndarray, ends: np.ndarray, histogram: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key) of all keys and (sig, tag) of each text: ws are the hashed words of many
+    texts one after the other, ends where each text ends. No text may be empty."""
+    n = np.diff(np.r_[0, ends])
+    text = np.repeat(np.arange(len(n)), n)
+    count = histogram[ws & (len(histogram) - 1)]
+    order = np.lexsort((ws, count, text))
+    ws, count = ws[order], count[order]
+    place = np.arange(len(ws))
+    new = np.r_[True, (ws[1:] != ws[:-1]) | (text[1:] != text[:-1])]
+    token = mixed(ws, place - np.maximum.accumulate(np.where(new, place, 0)))  # the k-th time that a word stands there
+    first = ends - n
+    bit = np.uint64(1) << (token.view(np.uint64) & np.uint64(63))
+    half = (token >> 6) & 1
+    sig, tag = (np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), first).view(np.int64) for h in (0, 1))
+    cold = count <= hot
+    n_cold = np.add.reduceat(cold.astype(np.int64), first)
+    at = place - first[text]
+    alone = cold & (at <= n[text] // CHANGED)
+    both, back = np.unique(np.stack([n, n_cold]), axis=1, return_inverse=True)
+    upto = np.array([reach(int(x), int(c)) for x, c in both.T], dtype=np.int64)[back.reshape(-1)] + n_cold
+    follows = np.r_[text[1:] == text[:-1], False] & ~cold
+    pair = np.flatnonzero(follows & (at + 1 < upto[text]))
+    return np.concatenate([text[alone], text[pair]]), np.concatenate([mixed(token[alone], 1), mixed(token[pair], token[pair + 1])]), sig, tag
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -62,52 +115,78 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 def classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: cls, key, side), (texts: cls, words, n, evaluation, training).
+    """(members: cls, key, side), (texts: cls, id, words, n, evaluation, training).
 
-    blocks: (key, split, text). Classes are named by a digest of their words.
+    blocks: (key, split, text). Classes are named by a digest of their words;
+    id is a shorter hash, which two classes may share.
     """
     side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")
     b = blocks.select("key", side.alias("side"), words(F.col("text")).alias("words")).where("side is not null and size(words) > 0")
-    b = b.withColumn("cls", F.md5(F.array_join("words", " ")))
+    b = b.withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
     members = b.select("cls", "key", "side").distinct()
     texts = b.groupBy("cls").agg(F.any_value("words").alias("words"), F.bool_or(F.col("side") == "eval").alias("evaluation"), F.bool_or(F.col("side") == "train").alias("training"))
-    return members, texts.withColumn("n", F.size("words"))
+    return members, texts.select("cls", F.xxhash64("words").alias("id"), "words", F.size("words").alias("n"), "evaluation", "training")
+
+
+def keyed(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, id, n, sig, tag, evaluation, training): the keys that each class looks up."""
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    bucket = F.explode(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)))))
+    counted = texts.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toArrow()
+    histogram = np.zeros(1 << BITS, dtype=np.int64)
+    histogram[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(histogram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ws = b.column("ws")
+            flat, ends = ws.flatten().to_numpy(zero_copy_only=False), np.cumsum(ws.value_lengths().to_numpy(zero_copy_only=False))
+            text, key, sig, tag = keys_of(flat, ends.astype(np.int64), sent.value, hot)
+            rest = b.drop_columns(["ws"]).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *rest.columns, pa.array(sig[text]), pa.array(tag[text])], names=["key", *rest.schema.names, "sig", "tag"])
+
+    t = texts.where("n > 1").select("id", "n", "evaluation", "training", hashes.alias("ws"))
+    return t.mapInArrow(run, "key long, id long, n int, evaluation boolean, training boolean, sig long, tag long")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """(id_a, id_b): an evaluation and a training class with a key in common, whose signatures
+    differ in no more bits than the two texts may have words of their own."""
+    train = keys.where("training")
+    total = train.count()
+    heavy = train.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") * HEAVY > F.lit(total))
+    heavy = cut(heavy.select("key", F.least(F.lit(SALTS), F.ceil(F.col("held") * HEAVY / F.lit(total))).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    side = ["key", "id", "n", "sig", "tag"]
+    e = keys.where("evaluation").select(*side).join(F.broadcast(heavy), "key", "left")
+    e = e.select("key", *[F.col(c).alias(f"{c}_a") for c in side[1:]], F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    r = train.select(*side).join(F.broadcast(heavy), "key", "left")
+    r = r.select("key", *[F.col(c).alias(f"{c}_b") for c in side[1:]], F.pmod("id", salts).cast("int").alias("salt"))
+    longer = F.greatest("n_a", "n_b")
+    apart = F.col("n_a") + F.col("n_b") - 2 * (longer - F.floor(longer / CHANGED))
+    differ = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) + F.bit_count(F.col("tag_a").bitwiseXOR(F.col("tag_b")))
+    return e.join(r, ["key", "salt"]).where(differ <= apart).select("id_a", "id_b").distinct()
 
 
 def class_pairs(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b, lcs, n_a, n_b): pairs of different classes that are the same text, a in an
     evaluation split and b in the training split."""
-    pos = F.sequence(F.lit(0), F.col("n") - 2)
-    grams = F.when(F.col("n") >= 2, F.array_distinct(F.transform(pos, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1))))).otherwise(F.array(F.xxhash64(F.get("words", F.lit(0)))))
-    g = texts.select("cls", "n", "evaluation", "training", grams.alias("grams"))
-    each = g.select("cls", F.explode("grams").alias("gram"))
-    freq = each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = each.join(freq, "gram").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("shared"))
-    # bigrams of one text only can't be shared, yet they come first in the order of rarity
-    t = g.join(ranked, "cls").withColumn("lost", most_lost(F.col("n"))).withColumn("alone", F.size("grams") - F.size("shared"))
-    need = F.size("grams") - F.col("lost")
-    depth = F.greatest(F.lit(0), F.col("lost") + 2 - F.col("alone"))
-    t = t.withColumn("prefix", F.slice("shared", 1, depth)).where(F.size("prefix") > 0)
-    cold = F.transform(F.filter("prefix", lambda s: (s["f"] <= hot) | (need < 2)), lambda s: s["gram"])
-    warm = F.array_sort(F.transform(F.filter("prefix", lambda s: s["f"] > hot), lambda s: s["gram"]))
-    pairs = F.flatten(F.transform(warm, lambda x: F.transform(F.filter(warm, lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    keys = t.select("cls", "n", "evaluation", "training", F.explode(F.array_distinct(F.concat(cold, pairs))).alias("key"))
-    e = keys.where("evaluation").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    r = keys.where("training").select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    longer = F.greatest("n_a", "n_b")
-    cand = e.join(r, "key").where((F.col("a") != F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= longer * CHANGED)).select("a", "b").distinct()
-    both = cand.join(texts.select(F.col("cls").alias("a"), F.col("words").alias("w_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("words").alias("w_b")), "b")
-    most = F.greatest(F.size("w_a"), F.size("w_b")) * CHANGED
-    both = both.where((F.size(F.array_except("w_a", "w_b")) <= most) & (F.size(F.array_except("w_b", "w_a")) <= most))
+    cand = candidates(cut(keyed(texts, hot)))
+    a, b = (texts.where(side).select(F.col("id").alias(f"id_{x}"), F.col("cls").alias(x), F.col("words").alias(f"w_{x}")) for side, x in (("evaluation", "a"), ("training", "b")))
+    both = cand.join(a, "id_a").join(b, "id_b").where("a <> b")
+    most = F.floor(F.greatest(F.size("w_a"), F.size("w_b")) / CHANGED)
+    both = both.where((F.size(F.array_except("w_a", "w_b")) <= most) & (F.size(F.array_except("w_b", "w_a")) <= most)).select("a", "b", "w_a", "w_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             lcs = [common_subsequence(list(x), list(y)) for x, y in zip(p["w_a"], p["w_b"])]
             out = pd.DataFrame({"a": p["a"], "b": p["b"], "lcs": lcs, "n_a": p["w_a"].map(len), "n_b": p["w_b"].map(len)})
             m = out[["n_a", "n_b"]].max(axis=1)
-            yield out[5 * (m - out["lcs"]) <= m]
+            yield out[CHANGED * (m - out["lcs"]) <= m]
 
-    return both.mapInPandas(verify, "a string, b string, lcs int, n_a int, n_b int")
+    return both.mapInPandas(verify, "a binary, b binary, lcs int, n_a int, n_b int")
 
 
 def overlaps(blocks: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
