@@ -48,7 +48,7 @@ there are fewer than HEAVY of them."""
 def words(text: Column) -> Column:
     """The compared words of a text, in order."""
     low = F.lower(F.translate(text, "İIıçğöşüâîûÇĞÖŞÜÂÎÛ", "iiicgosuaiuCGOSUAIU"))
-    bare = F.regexp_replace(F.regexp_replace(low, r"\p{M}", ""), r"[^\p{L}\p{N}\s]", "")
+    bare = F.regexp_replace(low, r"[^\p{L}\p{N}\s]+", "")
     return F.filter(F.split(bare, r"[\s ]+"), lambda w: w != "")
 
 
@@ -118,14 +118,16 @@ def classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: cls, key, side), (texts: cls, id, words, n, evaluation, training).
 
     blocks: (key, split, text). Classes are named by a digest of their words;
-    id is a shorter hash, which two classes may share.
+    id is a shorter hash, which two classes may share. Members of the class without words
+    meet no text.
     """
     side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")
-    b = blocks.select("key", side.alias("side"), words(F.col("text")).alias("words")).where("side is not null and size(words) > 0")
+    b = blocks.where("split in ('train', 'dev', 'test') and text is not null").select("key", side.alias("side"), words(F.col("text")).alias("words"))
     b = b.withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
-    members = b.select("cls", "key", "side").distinct()
+    # no filter on the words here: it would go under the projection and compute them once more
+    members = cut(b.select("cls", "key", "side").distinct())
     texts = b.groupBy("cls").agg(F.any_value("words").alias("words"), F.bool_or(F.col("side") == "eval").alias("evaluation"), F.bool_or(F.col("side") == "train").alias("training"))
-    return members, texts.select("cls", F.xxhash64("words").alias("id"), "words", F.size("words").alias("n"), "evaluation", "training")
+    return members, texts.select("cls", F.xxhash64("words").alias("id"), "words", F.size("words").alias("n"), "evaluation", "training").where("n > 0")
 
 
 def keyed(texts: DataFrame, hot: int = HOT) -> DataFrame:
