@@ -2,13 +2,13 @@
 
 1. Adjacent characters are scored by their share of the corpus' mutual information, taken
    from the counts of all words. 2. In a word, maximum-scoring segments of improbable pairs
-   are the runs that may be garbled. 3. Only inside those runs (and the non-ASCII characters
-   they touch) inverse mappings are tried: encode as the wrong encoding, decode as the right
-   one, up to three times for text garbled twice. A mapping from UTF-8 must decode without
-   error; one between single-byte encodings, which always decodes, must give a word of the
-   corpus, and the word as it stands must not be an established one. Lost letters (U+FFFD, or
-   "?" inside a word) can't be undone by a mapping; they are restored where one corpus word
-   alone fits.
+   are the runs that may be garbled; a word without any is sound. 3. Only inside those runs
+   (and the non-ASCII characters they touch) inverse mappings are tried: encode as the wrong
+   encoding, decode as the right one, up to three times for text garbled twice. A mapping from
+   UTF-8 must decode without error; one between single-byte encodings, which always decodes,
+   must give no less likely pairs and a word of the corpus. Lost letters (U+FFFD, or "?" inside a
+   word) and stray control characters count in those runs alone; they can't be undone by a
+   mapping, and are restored where one corpus word alone fits.
 
 Nulls and empty texts are never garbled. Repeated rows count once. Words of any length are
 read whole. Statistics cover all rows; only rows with suspicious characters go to Python.
@@ -16,7 +16,6 @@ read whole. Statistics cover all rows; only rows with suspicious characters go t
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 import pandas as pd
@@ -31,10 +30,10 @@ SINGLE = (("cp1252", "cp1254"), ("cp1250", "cp1254"), ("cp437", "cp857"), ("mac_
 TURKISH = "çğıöşüÇĞİÖŞÜ"
 LOST = "�"
 
-PAIRS_MOST = 200_000
-"""Pairs kept by the model, the most frequent; pairs beyond score as unseen."""
-IMPROBABLE = -12.0
-"""log2 of a pair's share of the mutual information under which it counts as improbable."""
+IMPROBABLE, SATURATED = -12.0, -20.0
+"""log2 of a pair's share of the mutual information under which it counts as improbable, and
+under which it weighs the same as an unseen one. Shares add up to 1, so that at most
+2 ** -SATURATED pairs are above; the model holds no others."""
 PAIR_LEAST = 8
 """Occurrences under which a pair is no evidence and scores as unseen."""
 VOCABULARY_LEAST = 2
@@ -60,14 +59,15 @@ def skeleton_of(word: str) -> str:
 
 class Model(NamedTuple):
     score: dict[str, float]
-    """log2 of each pair's share of the mutual information; improbable where it is missing."""
+    """log2 of each pair's share of the mutual information, as far as it is not SATURATED."""
 
     def weight(self, pair: str) -> float:
-        return IMPROBABLE - self.score.get(pair, 2 * IMPROBABLE)
+        """From IMPROBABLE - SATURATED for an unseen pair down to -4 for a common one."""
+        return max(-4.0, IMPROBABLE - max(SATURATED, self.score.get(pair, SATURATED)))
 
 
-def runs(word: str, model: Model) -> list[tuple[int, int]]:
-    """Maximum-scoring segments (start, end) of improbable pairs, as characters; in order.
+def segments(word: str, model: Model) -> list[tuple[int, int, float]]:
+    """Maximum-scoring segments (start, end, score) of improbable pairs, as characters; in order.
 
     Each pair weighs how far it lies under IMPROBABLE; segments are the maximal ones, found
     in one pass over cumulative sums.
@@ -76,7 +76,7 @@ def runs(word: str, model: Model) -> list[tuple[int, int]]:
     found: list[list[float]] = []  # start pair, end pair, sum before, sum after
     total = 0.0
     for i in range(len(text) - 1):
-        w = max(-4.0, min(8.0, model.weight(text[i : i + 2])))
+        w = model.weight(text[i : i + 2])
         before, total = total, total + w
         if w <= 0:
             continue
@@ -88,7 +88,7 @@ def runs(word: str, model: Model) -> list[tuple[int, int]]:
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
-    return [(max(0, int(a) - 1), min(len(word), int(b))) for a, b, *_ in found]
+    return [(max(0, int(a) - 1), min(len(word), int(b)), y - x) for a, b, x, y in found]
 
 
 def widen(word: str, start: int, end: int) -> tuple[int, int]:
@@ -156,11 +156,17 @@ class Finding(NamedTuple):
 FINDING = "status string, restored string, wanted string, bare string"
 
 
-def from_utf8_runs(token: str, model: Model) -> str | None:
+def as_likely(new: str, old: str, model: Model) -> bool:
+    """The pairs in which two words of one length differ weigh no more in the new one."""
+    x, y = f"^{new}$", f"^{old}$"
+    at = [i for i in range(len(x) - 1) if x[i : i + 2] != y[i : i + 2]]
+    return sum(model.weight(x[i : i + 2]) for i in at) <= sum(model.weight(y[i : i + 2]) for i in at)
+
+
+def from_utf8_runs(token: str, spans: list[tuple[int, int]]) -> str | None:
     """The token with every run that maps back from UTF-8 mapped, or None if none does."""
     out, done, hit = [], 0, False
-    for a, b in runs(token, model):
-        a, b = widen(token, a, b)
+    for a, b in spans:
         a = max(a, done)
         if a >= b:
             continue
@@ -180,33 +186,39 @@ def from_utf8_runs(token: str, model: Model) -> str | None:
 
 
 def analyse(token: str, model: Model) -> Finding:
+    """What the improbable runs of the token are; nothing outside them is looked at. A mapping
+    between single-byte encodings must not give less likely pairs."""
     core = token.strip(EDGES)
     bare = key_of(core)
-    if (back := from_utf8_runs(token, model)) is not None:
+    spans = [widen(token, a, b) for a, b, _ in segments(token, model)]
+    if not spans:
+        return Finding("sound", None, None, bare)
+    at = {i for a, b in spans for i in range(a, b)}
+    if (back := from_utf8_runs(token, spans)) is not None:
         return Finding("garbled", back, None, bare)
-    if LOST in token:
+    if any(token[i] == LOST for i in at):
         return Finding("garbled", None, skeleton_of(core), bare)
-    if any(0x80 <= ord(c) < 0xA0 for c in token):
+    if any(0x80 <= ord(token[i]) < 0xA0 for i in at):
         return Finding("garbled", None, None, bare)
     if "?" in core and not any(c in core for c in "/=@&<>"):
+        if not any(token[i] == "?" for i in at):
+            return Finding("sound", None, None, bare)
         inner = core.strip("?")
         if "?" in inner and inner.replace("?", "").replace("'", "").replace("’", "").isalpha():
             return Finding("garbled", None, skeleton_of(core if core[:1] == "?" else core.rstrip("?") if core.endswith("??") else core), bare)
         if inner.replace("'", "").replace("’", "").isalpha():
             return Finding("lost" if core[0] == "?" else "edge", None, skeleton_of(core), key_of(inner))
         return Finding("sound", None, None, bare)
-    spans = [widen(token, a, b) for a, b in runs(token, model)]
     for wrong, right in SINGLE:
         back = list(token)
-        for a, b in spans:
-            for i in range(a, b):
-                if ord(token[i]) > 127 and token[i] not in TURKISH:
-                    try:
-                        back[i] = token[i].encode(wrong).decode(right)
-                    except UnicodeError:
-                        pass
+        for i in at:
+            if ord(token[i]) > 127 and token[i] not in TURKISH:
+                try:
+                    back[i] = token[i].encode(wrong).decode(right)
+                except UnicodeError:
+                    pass
         t = "".join(back)
-        if t != token and all(c.isascii() or c in TURKISH + "’‘“”…" for c in t):
+        if t != token and all(c.isascii() or c in TURKISH + "’‘“”…" for c in t) and as_likely(t, token, model):
             return Finding("single", t, key_of(t.strip(EDGES + "?")), key_of(core.strip("?")))
     return Finding("sound", None, None, bare)
 
@@ -217,24 +229,20 @@ def words(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_model(counted: DataFrame) -> Model:
-    """counted: (word, n). The pairs of each distinct word are counted n times."""
+    """counted: (word, n). The pairs of each distinct word are counted n times; all of them
+    make up the totals, and those with an unsaturated share of the information come back."""
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(marked, i, F.lit(2)))
-    counts = counted.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "pair").limit(PAIRS_MOST).collect()
-    total = sum(r.n for r in top) or 1
-    left: dict[str, int] = {}
-    right: dict[str, int] = {}
-    for r in top:
-        left[r.pair[:1]] = left.get(r.pair[:1], 0) + r.n
-        right[r.pair[1:]] = right.get(r.pair[1:], 0) + r.n
-    score = {}
-    for r in top:
-        p = r.n / total
-        pmi = math.log2(p * total * total / (left[r.pair[:1]] * right[r.pair[1:]]))
-        if pmi > 0 and r.n >= PAIR_LEAST:
-            score[r.pair] = math.log2(p * pmi)
-    return Model(score)
+    counts = cut(counted.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    sides = counts.withColumn("l", F.substr("pair", F.lit(1), F.lit(1))).withColumn("r", F.substr("pair", F.lit(2), F.lit(1)))
+    left, right = (counts.groupBy(F.substr("pair", F.lit(i), F.lit(1)).alias(c)).agg(F.sum("n").alias(f"n_{c}")) for i, c in ((1, "l"), (2, "r")))
+    p = F.col("n") / F.lit(total)
+    mine = sides.join(left, "l").join(right, "r").select("pair", "n", (p * F.log2(p / (F.col("n_l") / F.lit(total)) / (F.col("n_r") / F.lit(total)))).alias("mine")).where("mine > 0")
+    mine = cut(mine)
+    whole = mine.agg(F.sum("mine")).first()[0] or 1.0
+    kept = mine.where(F.col("n") >= PAIR_LEAST).select("pair", F.log2(F.col("mine") / F.lit(whole)).alias("score")).where(F.col("score") > SATURATED).toArrow()
+    return Model(dict(zip(kept["pair"].to_pylist(), kept["score"].to_pylist())))
 
 
 def corpus_words(counted: DataFrame) -> DataFrame:

@@ -1,7 +1,16 @@
+import math
+
 import pytest
 
 from kilim.llm import garble as g
 
+
+
+def whole(word):
+    """The word mapped back as one run."""
+    return g.from_utf8_runs(word, [(0, len(word))])
+
+
 GOOD = ["Bölüm", "başkanı", "yavaşça", "küçük", "gün", "için", "ayakkabıyı", "köftede", "güneşleri", "kalkıyor", "söyleyecek", "şarkıya", "İlk", "öğleden", "ışık", "ağaç"]
 
 
@@ -11,23 +20,54 @@ def test_utf8_round_trip(word, wrong):
     raw = word.encode()
     bad = "".join(bytes([b]).decode(wrong, errors="ignore") or chr(b) for b in raw) if wrong != "latin-1" else raw.decode(wrong)
     if bad != word:
-        assert g.from_utf8_runs(bad, g.Model({})) == word
+        assert whole(bad) == word
 
 
 def test_twice():
     bad = "söyleyeceğiz".encode().decode("cp1252").encode().decode("cp1252")
-    assert g.from_utf8_runs(bad, g.Model({})) == "söyleyeceğiz"
+    assert whole(bad) == "söyleyeceğiz"
 
 
 @pytest.mark.parametrize("word", ["São", "irmã", "þ", "Â", "£", "m²", "düşündün", "şç", "góðan", "señora", "привет", "👩‍💻", "hâlâ"])
 def test_sound_words_have_no_mapping(word):
-    assert g.from_utf8_runs(word, g.Model({})) is None
+    assert whole(word) is None
 
 
 def test_segments_are_maximal():
     model = g.Model({p: -2.0 for p in ("^a", "ab", "ba", "a$", "b$")})
-    assert g.runs("abab", model) == []
-    assert g.runs("abXYab", model) == [(1, 5)]
+    assert g.segments("abab", model) == []
+    assert [x[:2] for x in g.segments("abXYab", model)] == [(1, 5)]
+
+
+def test_the_model_decides():
+    def common(*words):
+        return g.Model({p: -6.0 for w in words for p in map("".join, zip(f"^{w}", f"{w}$"))})
+
+    assert g.analyse("baþka", common("başka", "bal")).status == "single"
+    assert g.analyse("baþka", common("baþka")).status == "sound"  # an established sequence
+    assert g.analyse("baþka", g.Model({p: -6.0 for p in ("aþ", "þk")})).status == "sound"  # the mapping gives less likely pairs
+    assert g.analyse("yÃ¼z", common("yüz")) == g.Finding("garbled", "yüz", None, "yã¼z")
+    assert g.analyse("yÃ¼z", common("yÃ¼z")).status == "sound"
+    assert g.analyse("ne?ki", common("ne?ki")).status == "sound"
+    assert g.analyse("ne?ki", common("neşki")).status == "garbled"
+    assert g.analyse("a\x85b", common("a\x85b")).status == "sound"
+    assert g.analyse("a\x85b", common("ab")).status == "garbled"
+
+
+def test_pair_model_counts_every_pair(spark):
+    rows = [("ab", 30), ("ba", 20), ("c", 9), ("xy", 1)]
+    m = g.pair_model(spark.createDataFrame(rows, "word string, n long"))
+    pairs = {}
+    for w, n in rows:
+        for p in map("".join, zip(f"^{w}", f"{w}$")):
+            pairs[p] = pairs.get(p, 0) + n
+    total = sum(pairs.values())
+    side = lambda i, c: sum(n for p, n in pairs.items() if p[i] == c) / total
+    mine = {p: n / total * math.log2(n / total / side(0, p[0]) / side(1, p[1])) for p, n in pairs.items()}
+    mine = {p: v for p, v in mine.items() if v > 0}
+    want = {p: math.log2(v / sum(mine.values())) for p, v in mine.items() if pairs[p] >= g.PAIR_LEAST}
+    assert m.score.keys() == want.keys() and all(abs(m.score[p] - want[p]) < 1e-9 for p in want)
+    assert g.pair_model(spark.createDataFrame([], "word string, n long")).score == {}
 
 
 TEXTS = [
@@ -55,4 +95,4 @@ def test_frame(spark):
 
 
 def test_long_word():
-    assert g.from_utf8_runs("a" * 20_000 + "Ã¼", g.Model({})) == "a" * 20_000 + "ü"
+    assert whole("a" * 20_000 + "Ã¼") == "a" * 20_000 + "ü"
