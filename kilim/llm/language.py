@@ -36,6 +36,7 @@ WORD_CLASSES = ("tr", "en", "other")
 MOST_TRAINED = 20_000
 """Rows a model is trained on at most; sentences are taken from at most a fifth as many documents."""
 BUCKETS, WIDTH, BATCH = 1 << 15, 24, 256
+"""At most 1 << 16 buckets."""
 FILTER_SGD, SENTENCE_SGD, WORD_SGD = (2, 1.0), (4, 1.0), (30, 2.0)
 """Rounds over the sample, and the rate at the start."""
 LEAST_STEPS = 400
@@ -43,6 +44,8 @@ LEAST_STEPS = 400
 PRECISION = 0.99
 SENTENCES = 3
 """Whole sentences of a language that make a document mixed, each of the model's confidence."""
+TEXTS_LEAST = 100
+"""Documents from which the confidence in whole texts is calibrated on ones not learned from."""
 FORM_LEAST, FORM_AGREE = 3, 0.6
 """Occurrences of a word form, and the share of one label among them, to learn from it."""
 CACHED = 200_000
@@ -83,7 +86,8 @@ def features(word: str) -> list[int]:
 
 class Model:
     """classes, embeddings (BUCKETS, WIDTH), weights (WIDTH, classes), bias, temperature and
-    the confidence below which an answer is rejected."""
+    the confidences below which an answer on a sentence or word, and on a whole text, is
+    rejected."""
 
     def __init__(self, classes: tuple[str, ...], seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -91,37 +95,43 @@ class Model:
         self.embed = (rng.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
         self.weight = np.zeros((WIDTH, len(classes)), dtype=np.float32)
         self.bias = np.zeros(len(classes), dtype=np.float32)
-        self.heat, self.least = 1.0, 0.5
-        self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.heat, self.least, self.least_text = 1.0, 0.5, 0.0
+        self.forget()
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, known={}, rows=[])
+        self.__dict__.update(state)
+        self.forget()
 
-    def word(self, w: str) -> np.ndarray:
-        """Sum of the word's embeddings, and their number in the last place."""
+    def place(self, w: str) -> int:
+        """The word's row in `rows`: the sum of its embeddings, and their number in the last place."""
         i = self.known.get(w)
         if i is None:
-            if len(self.rows) > CACHED:
-                self.known.clear()
-                self.rows.clear()
             f = features(w)
-            self.known[w] = i = len(self.rows)
-            self.rows.append(np.append(self.embed[f].sum(axis=0), len(f)).astype(np.float32))
-        return self.rows[i]
+            self.known[w] = i = len(self.known)
+            if i >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), WIDTH + 1), dtype=np.float32)])
+            self.rows[i, :-1] = self.embed[f].sum(axis=0)
+            self.rows[i, -1] = len(f)
+        return i
 
     def probabilities(self, texts: list[list[str]]) -> np.ndarray:
         """(texts, classes); texts are lists of lower-case words, none empty."""
         if not texts:
             return np.zeros((0, len(self.classes)))
-        flat = np.stack([self.word(w) for t in texts for w in t])
+        if len(self.known) > CACHED:
+            self.forget()
+        known, place = self.known, self.place
+        at = [known[w] if w in known else place(w) for t in texts for w in t]
         first = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]
-        total = np.add.reduceat(flat, first, axis=0)
+        total = np.add.reduceat(self.rows[at], first, axis=0)
         return softmax((total[:, :-1] / total[:, -1:]) @ self.weight + self.bias, self.heat)
 
+    def forget(self) -> None:
+        self.known, self.rows = {}, np.zeros((0, WIDTH + 1), dtype=np.float32)
+
     def train(self, texts: list[list[str]], labels: np.ndarray, sgd: tuple[int, float], seed: int = 0, again: bool = False) -> Model:
         """SGD on four fifths, calibration on the rest; again: then anew on all, with the
         temperature and confidence found."""
@@ -133,8 +143,8 @@ class Model:
             return self
         table: dict[str, np.ndarray] = {}
         for w in {w for t in texts for w in t}:
-            table[w] = np.array(features(w), dtype=np.int64)
-        ids = [np.concatenate([table[w] for w in t]) if t else np.zeros(0, dtype=np.int64) for t in texts]
+            table[w] = np.array(features(w), dtype=np.uint16)  # sorted by radix
+        ids = [np.concatenate([table[w] for w in t]) if t else np.zeros(0, dtype=np.uint16) for t in texts]
         self.fit(ids, labels, learn, sgd, rng)
         if len(held):
             self.calibrate([texts[i] for i in held], labels[held])
@@ -153,6 +163,7 @@ class Model:
         balance = 1 / np.sqrt(np.maximum(share, 1e-3))
         balance /= (balance * share).sum()
         steps, step = rounds * -(-len(learn) // BATCH), 0
+        embed = np.ascontiguousarray(self.embed.T)  # sums run along the rows
         for _ in range(rounds):
             learn = rng.permutation(learn)
             for a in range(0, len(learn), BATCH):
@@ -161,7 +172,7 @@ class Model:
                 step += 1
                 flat = np.concatenate([ids[i] for i in part])
                 size = np.array([len(ids[i]) for i in part])
-                x = np.add.reduceat(self.embed[flat], np.r_[0, np.cumsum(size)[:-1]], axis=0) / size[:, None]
+                x = np.add.reduceat(embed[:, flat], np.r_[0, np.cumsum(size)[:-1]], axis=1).T / size[:, None]
                 p = softmax(x @ self.weight + self.bias, 1.0)
                 p[np.arange(len(part)), labels[part]] -= 1
                 g = (p * balance[labels[part]][:, None]).astype(np.float32)
@@ -170,10 +181,10 @@ class Model:
                 self.bias -= rate * g.mean(axis=0)
                 order = np.argsort(flat, kind="stable")
                 row = np.repeat(np.arange(len(part)), size)[order]
-                start = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-                self.embed[flat[order][start]] -= rate * np.add.reduceat(back[row], start, axis=0)
-        self.known.clear()
-        self.rows.clear()
+                start = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+                embed[:, flat[order][start]] -= rate * np.add.reduceat(back.T.astype(np.float32)[:, row], start, axis=1)
+        self.embed = np.ascontiguousarray(embed.T)
+        self.forget()
 
     def calibrate(self, texts: list[list[str]], labels: np.ndarray) -> None:
         """The temperature of least log loss, and the confidence from which PRECISION is reached."""
@@ -189,6 +200,22 @@ class Model:
         enough = np.flatnonzero(good >= PRECISION)
         self.least = float(np.clip(top[order][enough[-1]], 0.5, 0.99)) if len(enough) else 0.99
 
+    def calibrate_texts(self, texts: list[list[list[str]]], labels: np.ndarray) -> None:
+        """The confidence from which PRECISION of the answers on whole texts (sentences of words)
+        are right; 0 if all together reach it."""
+        means = [text_mean(self.probabilities(t), t) for t in texts]
+        top = np.array([m.max() for m in means])
+        order = np.argsort(-top)
+        good = np.cumsum(np.array([m.argmax() for m in means])[order] == labels[order]) / np.arange(1, len(order) + 1)
+        enough = np.flatnonzero(good >= PRECISION)
+        self.least_text = 0.99 if not len(enough) else float(top[order][enough[-1]]) if enough[-1] + 1 < len(order) else 0.0
+
+
+def text_mean(p: np.ndarray, sentences: list[list[str]]) -> np.ndarray:
+    """The sentences' distributions, weighed by their words."""
+    size = np.array([len(w) for w in sentences])
+    return (p * size[:, None]).sum(axis=0) / size.sum()
+
 
 def softmax(x: np.ndarray, heat: float) -> np.ndarray:
     z = x / heat
@@ -213,10 +240,11 @@ def tokens(text: str) -> list[str]:
 
 class Verdict(NamedTuple):
     lang: str | None
+    """None if the text has no words or the model rejects its answer."""
     confidence: float | None
     mixed: list[str]
     segments: list[tuple]
-    """(language, confidence, sentences) of each run of sentences of one language."""
+    """(language or None if rejected, confidence, sentences) of each run of sentences."""
 
 
 VERDICT = "lang string, confidence double, mixed array<string>, segments array<struct<lang: string, confidence: double, n_sentences: int>>"
@@ -234,7 +262,7 @@ def judge(texts: list[str | None], model: Model) -> list[Verdict]:
         q = p[at : at + len(ws)]
         at += len(ws)
         size = np.array([len(w) for w in ws])
-        mean = (q * size[:, None]).sum(axis=0) / size.sum()
+        mean = text_mean(q, ws)
         best = q.argmax(axis=1)
         sure = (q.max(axis=1) >= model.least) & (size >= 4)
         count = Counter(best[sure].tolist())
@@ -246,7 +274,8 @@ def judge(texts: list[str | None], model: Model) -> list[Verdict]:
                 runs[-1][2] += 1
             else:
                 runs.append([model.classes[k], float(c), 1])
-        out.append(Verdict(model.classes[int(mean.argmax())], float(mean.max()), mixed if len(mixed) > 1 else [], [(a, b / n, n) for a, b, n in runs]))
+        lang = model.classes[int(mean.argmax())] if mean.max() >= model.least_text else None
+        out.append(Verdict(lang, float(mean.max()), mixed if len(mixed) > 1 else [], [(a if b / n >= min(model.least, model.least_text) else None, b / n, n) for a, b, n in runs]))
     return out
 
 
@@ -261,7 +290,11 @@ def sentence_model(docs: DataFrame, clean: DataFrame | None = None, seed: int =
     n = known.count()
     most = MOST_TRAINED // 5
     share = min(1.0, most / max(1, n))
-    rows = known.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003).orderBy("key").limit(2 * most).select("lang", "text").collect()
+    at = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    rows = known.where(at < share).orderBy("key").limit(2 * most).select("lang", "text").collect()
+    # documents not learned from, or where there are too few those learned from
+    others = known.where((at >= share) & (at < 1.2 * share)).orderBy("key").limit(most).select("lang", "text").collect()
+    judged = others if len(others) >= TEXTS_LEAST else rows
     if clean is not None:
         rows += clean.select(spelled(F.col("lang")).alias("lang"), "text").where("lang is not null and text is not null").orderBy("text").limit(most).collect()
     texts, labels = [], []
@@ -278,7 +311,12 @@ def sentence_model(docs: DataFrame, clean: DataFrame | None = None, seed: int =
         return first
     p = first.probabilities(texts)
     fits = (p.argmax(axis=1) == y) | (p.max(axis=1) < 0.8)
-    return Model(LANGUAGES, seed).train([t for t, ok in zip(texts, fits) if ok], y[fits], SENTENCE_SGD, seed)
+    model = Model(LANGUAGES, seed).train([t for t, ok in zip(texts, fits) if ok], y[fits], SENTENCE_SGD, seed)
+    known_texts = [(LANGUAGES.index(r.lang), ws) for r in judged if (ws := [w for s in sentences(r.text) if (w := tokens(s))])]
+    sure = [(k, ws) for k, ws in known_texts if (m := text_mean(first.probabilities(ws), ws)).argmax() == k or m.max() < 0.8]
+    if sure:
+        model.calibrate_texts([ws for _, ws in sure], np.array([k for k, _ in sure]))
+    return model
 
 
 def form_counts(rows: DataFrame) -> DataFrame:
@@ -347,7 +385,7 @@ def document_languages(docs: DataFrame, model: Model, profiles: quality.Profiles
         m, prof = sent.value
         for text, said in batches:
             vs = judge(list(text), m)
-            kinds = [quality.kind_of(t, prof) if prof and v.lang and (v.lang != s or v.mixed) else None for t, s, v in zip(text, said, vs)]
+            kinds = [quality.kind_of(t, prof) if prof and (v.mixed or (v.lang and v.lang != s)) else None for t, s, v in zip(text, said, vs)]
             out = pd.DataFrame(vs, columns=list(Verdict._fields))
             out["segments"] = [[{"lang": a, "confidence": b, "n_sentences": n} for a, b, n in v.segments] for v in vs]
             yield out.assign(kind=kinds)
