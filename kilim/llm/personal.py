@@ -2,13 +2,15 @@
 typed placeholders.
 
 Candidates are spans whose shape could be an e-mail address, telephone number, identity
-number, address or name. Some are seeds: shapes that can be nothing else, numbers after an
-identity keyword, and names that begin with a given name of the seed list. Each candidate
-carries patterns: the words beside it, the surname, the surname's ending, a number's shape.
-Spark scores the graph of patterns and instances in rounds: a pattern is trusted if enough
-different instances bear it out and most of its candidates are accepted ones; an instance is
-accepted if trusted patterns support it. Given names of accepted instances are seeds of the
-next round, so that names outside the list are found.
+number, address or name. A strict few are seeds: plain addresses with "@", international
+numbers, numbers after the commonest identity keywords, addresses with the commonest street
+words, and names that begin with a given name of the seed list. Each candidate carries
+patterns: the words beside it, the surname and its endings, a number's shape, the keyword or
+street word, how "@" is written and the last label of the host. Spark scores the graph of
+patterns and instances in rounds: a pattern is trusted if enough different instances bear it
+out and most of its candidates are accepted ones; an instance is accepted if trusted patterns
+support it. What is accepted bears out patterns of the next round, so that shapes, keywords,
+street words and given names outside the seeds are learned.
 
 Nulls and empty texts hold nothing. Repeated rows count once. Whole texts are read; the graph
 is aggregated on distinct instances, with map-side partial sums, and never collected.
@@ -29,6 +31,8 @@ ROUNDS = 3
 PRECISION, DIVERSITY = 0.6, 3
 """A pattern is trusted if this share of its candidates is accepted, and so many different
 given names (numbers: values) bear it out."""
+SEEDS_MOST = 100_000
+"""Seed names that are broadcast; more are an error."""
 TYPES = ("EMAIL", "PHONE", "IDNUM", "ADDRESS", "NAME")
 
 FOLD = str.maketrans("çğıöşüâîûİIÇĞÖŞÜ", "cgiosuaiuiicgosu")
@@ -39,6 +43,9 @@ EMAIL = re.compile(rf"(?<![\w@/.+-])[^\W_][\w.+-]*{AT}[^\W_][\w-]*(?:{DOT}[\w-]+
 NUMBER = re.compile(r"(?<![\w.,@/:+(-])[+(]{0,2}\d[\d ().\-]{5,}\d(?![\w@/]|[.,:]\d)")
 # Words before an identity number, folded.
 IDENTITY = {"tc", "t.c", "tckn", "kimlik", "ssn", "security", "insurance", "nino", "ni", "passport", "pasaport", "vatandaslik"}
+# The keywords and street words that make seeds; the others must be learned.
+SEED_IDENTITY = {"tc", "t.c", "tckn", "ssn", "passport", "pasaport"}
+SEED_STREETS = {"caddesi", "sokak", "street", "road", "str.", "rue", "calle"}
 FILLERS = {"no", "no.", "no:", "number", "numarasi", "numaram", "numarasi:", "number:", "numara", "nr", "nr."}
 COUNTRY_ID = re.compile(r"(?<!\w)(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{6,8})(?!\w)")
 WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
@@ -57,8 +64,10 @@ CITY = re.compile(rf",? {UP}(?!\w)")
 TOKEN = re.compile(rf"[^\W\d_]\.(?= |$|[,;:!?)])|{WORD}|\d+|[^\w\s]")
 INITIAL = re.compile(r"[A-ZÇĞİÖŞÜ]\.")
 
-FOUND = "type string, form string, given string, surname string, seed boolean, start int, stop int, patterns array<string>"
-FIELDS = ("type", "form", "given", "surname", "seed", "start", "stop", "patterns")
+FOUND = "type string, form string, given string, surname string, fits boolean, start int, stop int, patterns array<string>, seed boolean"
+FIELDS = ("type", "form", "given", "surname", "fits", "start", "stop", "patterns", "seed")
+"""fits: the shape is that of the type and nothing speaks against it; seed: accepted at once."""
+STREET = re.compile(rf"{TR_STREET}|{EN_STREET}\b|(?:str\.|straße|strasse|weg|platz|gasse)|\b(?:calle|avenida|rue|avenue|boulevard|plaza)\b", re.I)
 
 
 def fold(word: str) -> str:
@@ -73,10 +82,12 @@ def beside(text: str, start: int, stop: int) -> list[str]:
 
 
 def numbers(line: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    for m in [*NUMBER.finditer(line), *COUNTRY_ID.finditer(line)]:
+    taken = list(taken)
+    for m in [*COUNTRY_ID.finditer(line), *NUMBER.finditer(line)]:
         start, stop = m.span()
         if any(a < stop and start < b for a, b in taken):
             continue
+        taken.append((start, stop))
         t = m[0].rstrip(" .-(")
         stop = start + len(t)
         digits = sum(c.isdigit() for c in t)
@@ -87,9 +98,10 @@ def numbers(line: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
         keyed = bool(words) and words[0] in IDENTITY
         alnum = t[0].isalpha()
         if not alnum and 10 <= digits <= 15 and t[0] in "+(0":
-            yield "PHONE", "number", t, "", not keyed, start, stop, [shape, *around]
+            yield "PHONE", "number", t, "", not keyed, start, stop, [shape, *around], not keyed and t[0] == "+"
         if alnum or 6 <= digits <= 12:
-            yield "IDNUM", "number", t, "", keyed and digits >= 6, start, stop, [shape, *around]
+            key = [f"K:{words[0]}"] if words else []
+            yield "IDNUM", "number", t, "", keyed and digits >= 6, start, stop, [shape, *key, *around], keyed and digits >= 6 and words[0] in SEED_IDENTITY
 
 
 def names(line: str, given: frozenset[str]) -> Iterator[tuple]:
@@ -129,7 +141,22 @@ def names(line: str, given: frozenset[str]) -> Iterator[tuple]:
                 if form != "SCG":
                     continue
             ends = [f"E:{sk[-n:]}" for n in (3, 4, 5, 6) if len(sk) >= n + 2] + ([f"S:{sk}"] if sk else ["I:initial"])
-            yield "NAME", form, gk, sk, known and form in ("GS", "GI", "GIS", "SCG"), start, stop, ends + beside(line, start, stop)
+            seed = known and form in ("GS", "GI", "GIS", "SCG")
+            yield "NAME", form, gk, sk, seed, start, stop, ends + beside(line, start, stop), seed
+
+
+def mail(text: str) -> tuple[list[str], bool]:
+    """Patterns of an address, and whether it is a plain one."""
+    at = re.search(AT, text)
+    host = re.split(DOT, text[at.end() :]) if at else [text]
+    return [f"M:{fold(at[0]) if at else ''}", f"D:{fold(host[-1])}"], not re.search(r"[\s()\[\]]", text)
+
+
+def street(text: str) -> tuple[list[str], bool]:
+    """Patterns of an address: its last street word and the shape of its numbers."""
+    words = [fold(w) for w in STREET.findall(text)]
+    shape = re.sub(r"\d+", "9", " ".join(re.findall(r"[^\s,]*\d[^\s,]*", text)))
+    return [f"K:{words[-1]}" if words else "K:", f"N:{fold(shape)}"], bool(words) and words[-1] in SEED_STREETS
 
 
 def candidates(text: str | None, given: frozenset[str]) -> list[tuple]:
@@ -140,7 +167,8 @@ def candidates(text: str | None, given: frozenset[str]) -> list[tuple]:
         found: list[tuple] = []
         for m in EMAIL.finditer(line):
             taken.append(m.span())
-            found.append(("EMAIL", "mail", m[0], "", True, *m.span(), []))
+            own, plain = mail(m[0])
+            found.append(("EMAIL", "mail", m[0], "", True, *m.span(), own + beside(line, *m.span()), plain))
         for rx in ADDRESSES:
             for m in rx.finditer(line):
                 start, stop = m.span()
@@ -149,10 +177,11 @@ def candidates(text: str | None, given: frozenset[str]) -> list[tuple]:
                 if city := CITY.match(line, stop):
                     stop = city.end()
                 taken.append((start, stop))
-                found.append(("ADDRESS", "address", m[0], "", True, start, stop, []))
+                own, plain = street(m[0])
+                found.append(("ADDRESS", "address", m[0], "", True, start, stop, own + beside(line, start, stop), plain))
         found += numbers(line, taken)
         found += [n for n in names(line, given) if not any(a < n[6] and n[5] < b for a, b in taken)]
-        out += [(*f[:5], f[5] + at, f[6] + at, f[7]) for f in found]
+        out += [(*f[:5], f[5] + at, f[6] + at, *f[7:]) for f in found]
         at += len(line) + 1
     return out
 
@@ -163,10 +192,14 @@ MAYBE = r"[@\d]|\p{L}\.?,? +\p{Lu}|\((?:at|et)\)|\[(?:at|et)\]"
 def found(texts: DataFrame, seeds: DataFrame, items: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
     """(table_name, rec_id, type, start, stop) of the accepted spans.
 
-    texts: (table_name, rec_id, text). seeds: (name), a table of given names of fixed size (at
-    most 10,000 are taken). items: tables whose texts are single items, which have no context.
+    texts: (table_name, rec_id, text). seeds: (name), a table of given names of fixed size;
+    more than SEEDS_MOST raise an error. items: tables whose texts are single items, which
+    have no context. rounds: 0 gives the seeds alone.
     """
-    given = frozenset(fold(r.name.strip()) for r in seeds.select("name").where("name is not null").distinct().limit(10_000).collect())
+    rows = seeds.select("name").where("name is not null").distinct().limit(SEEDS_MOST + 1).collect()
+    if len(rows) > SEEDS_MOST:
+        raise ValueError(f"more than {SEEDS_MOST} seed names")
+    given = frozenset(fold(r.name.strip()) for r in rows)
     sent = texts.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,17 +212,18 @@ def found(texts: DataFrame, seeds: DataFrame, items: tuple[str, ...] = (), round
     c = cut(maybe.mapInPandas(run, "table_name string, rec_id long, size int, " + FOUND))
     alone = F.col("table_name").isin(*items) & (F.col("start") == 0) & (F.col("stop") == F.col("size")) if items else F.lit(False)
     c = c.withColumn("alone", alone)
-    sure = c.where("type in ('EMAIL', 'ADDRESS') or (type in ('PHONE', 'IDNUM') and seed)")
 
     # the graph on distinct instances
-    node = ["type", "form", "given", "surname", "seed", "alone", "patterns"]
-    inst = cut(c.where("type not in ('EMAIL', 'ADDRESS')").groupBy(*node).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64(*node)))
-    edges = inst.select("id", "type", "given", "n", F.explode("patterns").alias("pattern"))
+    node = ["type", "form", "given", "surname", "fits", "seed", "alone", "patterns"]
+    inst = cut(c.groupBy(*node).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64(*node)))
+    # every candidate for a name that isn't accepted speaks against its patterns; of the other
+    # types only those that don't fit
+    edges = inst.select("id", "type", "given", "n", ((F.col("type") == "NAME") | ~F.col("fits")).alias("counts"), F.explode("patterns").alias("pattern"))
     accepted = inst.where("seed").select("id")
     for _ in range(rounds):
         ok = edges.join(accepted.withColumn("ok", F.lit(True)), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
         distinct_ok = ok.where("ok").select("type", "pattern", "given").distinct().groupBy("type", "pattern").agg(F.count("*").alias("givens"))
-        score = ok.groupBy("type", "pattern").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("good"))
+        score = ok.groupBy("type", "pattern").agg(F.sum(F.when(F.col("ok") | F.col("counts"), F.col("n")).otherwise(0)).alias("all"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("good"))
         trusted = score.join(distinct_ok, ["type", "pattern"]).where((F.col("givens") >= DIVERSITY) & (F.col("good") >= PRECISION * F.col("all"))).select("type", "pattern")
         kind = F.substring("pattern", 1, 1)
         support = (
@@ -200,21 +234,25 @@ def found(texts: DataFrame, seeds: DataFrame, items: tuple[str, ...] = (), round
                 F.max(kind == "I").alias("initial"),
                 F.max(kind.isin("L", "R")).alias("context"),
                 F.max(kind == "N").alias("shape"),
+                F.max(kind.isin("K", "M", "D")).alias("word"),
             )
         )
-        s = inst.join(support, "id", "left").na.fill(False, ["lexical", "initial", "context", "shape"])
+        s = inst.join(support, "id", "left").na.fill(False, ["lexical", "initial", "context", "shape", "word"])
         known = cut(inst.join(accepted, "id", "left_semi").where("type = 'NAME' and form in ('GS', 'GIS', 'SCG')").join(support.where("lexical"), "id", "left_semi").select("given").distinct())
         s = s.join(known.withColumn("known", F.lit(True)), "given", "left").withColumn("known", F.coalesce("known", F.lit(False)) | F.col("seed"))
-        numeric = F.col("type").isin("PHONE", "IDNUM") & (F.col("seed") | (F.col("shape") & F.col("context")) | (F.col("shape") & F.col("alone") & (F.col("type") == "PHONE")))
+        borne = F.col("context") | F.col("word")
+        numeric = F.col("type").isin("PHONE", "IDNUM") & (
+            F.col("seed") | (F.col("shape") & F.col("context")) | (F.col("fits") & (F.col("shape") | borne)) | (F.col("shape") & F.col("alone") & (F.col("type") == "PHONE"))
+        )
+        spelled = F.col("type").isin("EMAIL", "ADDRESS") & (F.col("seed") | borne)
         name = (F.col("type") == "NAME") & (
             (F.col("known") & F.col("form").isin("GI", "GIS", "IG"))
             | (F.col("lexical") & (F.col("known") | F.col("context") | F.col("alone")))
             | (F.col("known") & F.col("context") & (F.col("form") == "GS"))
         )
-        accepted = cut(s.where(numeric | name).select("id"))
-    hit = c.where("type not in ('EMAIL', 'ADDRESS')").withColumn("id", F.xxhash64(*node)).join(accepted, "id", "left_semi")
-    cols = ["table_name", "rec_id", "type", "start", "stop"]
-    return hit.select(*cols).unionByName(sure.select(*cols)).distinct()
+        accepted = cut(s.where(numeric | spelled | name).select("id"))
+    hit = c.withColumn("id", F.xxhash64(*node)).join(accepted, "id", "left_semi")
+    return hit.select("table_name", "rec_id", "type", "start", "stop").distinct()
 
 
 def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -57,3 +57,21 @@ def test_bootstrap(spark):
     assert back["datasets", 0] == "kapı açık\nSayın [NAME], merhaba"
     assert back["datasets", 32] == "x" * 100_000 + " tel [PHONE]"
     assert p.found(df.limit(0), seeds).count() == 0
+
+
+def test_each_type_is_learned_beyond_its_seeds(spark):
+    rows = []
+
+    def add(*texts):
+        rows.extend(("datasets", len(rows) + i, t) for i, t in enumerate(texts))
+
+    add(*[f"bana {n}@mail.test adresinden yaz" for n in ("ela", "can", "su")], "bana nil (at) mail.test adresinden yaz")
+    add(*[f"beni +90 599 052 28 {n} numarasından ara" for n in (11, 12, 13)], *[f"beni 0599 052 28 {n} numarasından ara" for n in (21, 22, 23)], "0599 052 28 31")
+    add(*[f"evim Çınar Caddesi No:{n} diye bilinir" for n in (4, 5, 6)], *[f"evim Çınar Bulvarı No:{n} diye bilinir" for n in (7, 8, 9)], "Kavak Bulvarı No:3")
+    add(*[f"formda SSN 000-07-{n} istediler" for n in (1166, 1167, 1168)], "formda insurance 000-07-1170 istediler", "kargo 000-07 numara")
+    df = spark.createDataFrame(rows, "table_name string, rec_id long, text string")
+    seeds = spark.createDataFrame([("Elif",)], "name string")
+    found = [{(r.rec_id, r.type) for r in p.found(df, seeds, rounds=n).collect()} for n in (0, 3)]
+    count = [{t: sum(k == t for _, k in f) for t in p.TYPES} for f in found]
+    assert count[0] == {"EMAIL": 3, "PHONE": 3, "ADDRESS": 3, "IDNUM": 3, "NAME": 0}
+    assert count[1] == {"EMAIL": 4, "PHONE": 7, "ADDRESS": 7, "IDNUM": 4, "NAME": 0}
