@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilim.llm import bpe, garble, language, leakage, lookalike, overlap, personal, quality, splits
+from kilim.session import cut, shared_dir
 from kilim.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +139,19 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("record").alias("block_index"), F.col("component").alias("group_block_index"), "split")
 
 
+@query("p2_incremental")
+def p2_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Components and splits of all blocks, kept in a persisted state that the rows reach in two
+    halves (by block); the components are those of one run."""
+    edge = cut(splits.edges(table(spark, d, "gold_rows"), "block_index", ("author_id", "source_id", "entity_key")))
+    path = f"{shared_dir(spark)}/p2-state-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("record"), F.lit(2))
+    splits.update_state(spark, path, edge.where(half == 0))
+    s = cut(splits.update_state(spark, path, edge.where(half == 1)))
+    splits.drop_state(spark, path)
+    return s.select(F.col("record").alias("block_index"), F.col("component").alias("group_block_index"), "split")
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")

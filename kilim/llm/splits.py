@@ -1,16 +1,18 @@
 """Splits that keep related records together.
 
 Records are related if they share a key (author, source, entity), and through chains of such
-records. The table of components (record, component) is persisted; a run starts from the last
-one, adds new records and keys, and merges components by minimum labels with hooking of roots
-and pointer jumping, so that chains shrink by halves. A component is named by its smallest
+records. The state is persisted as two tables: (record, component, split) and the keys of each
+component. A run takes the new rows, the keys they share with the state (one row a component,
+however many records it has) and the components of records seen before, and merges by minimum
+labels with hooking of roots and pointer jumping, so that chains shrink by halves. A component is named by its smallest
 record. Splits: a component whose records lie in one split so far keeps it; one that now
 joins records of different splits is quarantined; new ones fill what the given proportions
 still lack, large ones one by one, the many small ones by a hash of their name.
 
 Keys are compared without case and outer blanks; null and blank keys relate nothing. A record
 without keys is a component of its own. Null records are left out; repeated rows count once.
-A key of any number of records is aggregated map-side first and never gathered in one task.
+A key of any number of records is aggregated map-side first and never gathered in one task;
+keys and components with more than 1 / HOT of the rows are looked up by broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ QUARANTINE = "quarantine"
 LARGE = 0.001
 """Components with more than this share of all records are placed one by one; there are fewer
 than 1 / LARGE of them."""
+HOT = 1000
+"""A value with more than 1 / HOT of the rows is hot; there are fewer than HOT of them."""
 
 
 def clean(key: Column) -> Column:
@@ -42,6 +46,20 @@ def edges(records: DataFrame, record: str, keys: Sequence[str]) -> DataFrame:
     return r.select("record", F.explode_outer("keys").alias("key")).distinct()
 
 
+def hot_values(rows: DataFrame, column: str) -> DataFrame:
+    """The hot values of a column: fewer than HOT rows."""
+    total = rows.count()
+    return cut(rows.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") * HOT > F.lit(total)).select(column))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, column: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row for each value of the column): the hot values by
+    broadcast of their part of the table, the others by a shuffle that no value dominates."""
+    few = table.join(F.broadcast(hot), column, "left_semi")
+    often = rows.join(F.broadcast(hot), column, "left_semi").join(F.broadcast(few), column, how)
+    return rows.join(F.broadcast(hot), column, "left_anti").join(table, column, how).unionByName(often)
+
+
 def components(edge: DataFrame, previous: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """(record, component). edge: (record, key), key null for records without keys.
 
@@ -55,11 +73,12 @@ def components(edge: DataFrame, previous: DataFrame | None = None, rounds: int =
         label = label.join(seen, "record", "full").select("record", F.coalesce("before", "record").alias("component"))
     label = cut(label)
     shared = edge.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    edge = cut(edge.join(shared, "key"))
+    hot = hot_values(edge.where("key is not null"), "key")
+    edge = cut(looked_up(edge.where("key is not null"), shared, "key", hot))
     for _ in range(rounds):
         at = edge.join(label, "record")
         least = at.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").drop("most")
-        seen = at.join(least, "key").groupBy("component").agg(F.min("least").alias("least")).where("least < component")
+        seen = looked_up(at, least, "key", hot).groupBy("component").agg(F.min("least").alias("least")).where("least < component")
         seen = cut(seen)  # (root, smaller root beside it)
         if seen.isEmpty():
             return label
@@ -70,7 +89,8 @@ def components(edge: DataFrame, previous: DataFrame | None = None, rounds: int =
             hook = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        label = cut(label.join(hook, label["component"] == hook["root"], "left").select("record", F.coalesce("up", "component").alias("component")))
+        roots = hook.withColumnRenamed("root", "component")
+        label = cut(looked_up(label, roots, "component", hot_values(label, "component"), "left").select("record", F.coalesce("up", "component").alias("component")))
     raise RuntimeError("components did not settle")
 
 
@@ -81,7 +101,7 @@ def conflicts(component: DataFrame, delivered: DataFrame) -> DataFrame:
     """
     d = delivered.where(F.col("split").isin(*SPLITS)).select("record", "split").distinct()
     several = component.join(d, "record").groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a < b").select("component")
-    return component.join(several, "component").select("component", "record")
+    return looked_up(component, several, "component", hot_values(component, "component")).select("component", "record")
 
 
 def assign(component: DataFrame, proportions: dict[str, float] = PROPORTIONS, previous: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -114,30 +134,63 @@ def assign(component: DataFrame, proportions: dict[str, float] = PROPORTIONS, pr
     kind = size.schema["component"].dataType
     own = size.sparkSession.createDataFrame(placed, f"component {kind.simpleString()}, own string")
     split = size.join(F.broadcast(own), "component", "left").select("component", F.coalesce("kept", "own", choice).alias("split"))
-    return component.join(split, "component").select("record", "component", "split")
+    return looked_up(component, split, "component", hot_values(component, "component")).select("record", "component", "split")
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last persisted state (record, component, split), or None."""
+def versions(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(number of the next state, folder of the last finished one)."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     p = hadoop.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = sorted(str(s.getPath()) for s in (fs.listStatus(p) if fs.exists(p) else []) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+    all_ = sorted((s.getPath() for s in (fs.listStatus(p) if fs.exists(p) else []) if s.getPath().getName().startswith("state-")), key=lambda x: x.getName())
+    done = [str(x) for x in all_ if fs.exists(hadoop.Path(x, "records/_SUCCESS"))]
+    return (int(all_[-1].getName()[6:]) + 1 if all_ else 0), (done[-1] if done else None)
+
+
+def drop_state(spark: SparkSession, path: str) -> None:
+    """Delete a persisted state, all its versions."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last persisted state (record, component, split), or None."""
+    last = versions(spark, path)[1]
+    return spark.read.parquet(f"{last}/records") if last else None
 
 
 def update_state(spark: SparkSession, path: str, edge: DataFrame, proportions: dict[str, float] = PROPORTIONS, seed: int = 0) -> DataFrame:
     """Merge new (record, key) rows into the persisted state and return it.
 
-    edge: all keys of the new records, and those of old records that the new keys touch. Each
-    run writes a folder of its own; a run that fails leaves the last state as it was.
+    edge: the new rows alone; what they have in common with earlier ones is taken from the
+    state. Each run writes a folder of its own, its records last; a run that fails leaves the
+    last finished state as it was.
     """
-    old = load_state(spark, path)
-    comp = components(edge, None if old is None else old.select("record", "component"))
-    new = assign(comp, proportions, None if old is None else old.select("record", "split"), seed)
-    if old is not None:  # what was quarantined stays so
-        bad = comp.join(old.where(F.col("split") == QUARANTINE).select("record"), "record").select("component").distinct().withColumn("bad", F.lit(True))
-        new = new.join(bad, "component", "left").select("record", "component", F.when(F.col("bad"), QUARANTINE).otherwise(F.col("split")).alias("split"))
-    version = 0 if old is None else int(old.inputFiles()[0].split("/state-")[-1].split("/")[0]) + 1
-    new.write.parquet(f"{path}/state-{version:08d}")
-    return spark.read.parquet(f"{path}/state-{version:08d}")
+    version, last = versions(spark, path)
+    folder = f"{path}/state-{version:08d}"
+    edge = cut(edge.where("record is not null").distinct())
+    if last is None:
+        comp = components(edge)
+        keys = comp.join(edge.where("key is not null"), "record").select("component", "key").distinct()
+        new = assign(comp, proportions, None, seed)
+    else:
+        old, held = spark.read.parquet(f"{last}/records"), spark.read.parquet(f"{last}/keys")
+        # a component stands for its records, under its own name
+        seen = cut(edge.join(old.select("record", "component"), "record", "left"))
+        mine = seen.select(F.coalesce("component", "record").alias("record"), "key")
+        touched = held.join(edge.select("key").where("key is not null").distinct(), "key", "left_semi").select(F.col("component").alias("record"), "key")
+        merged = cut(components(mine.unionByName(touched).distinct()).select(F.col("record").alias("component"), F.col("component").alias("up")))
+        up = F.coalesce("up", "component").alias("component")
+        kept = looked_up(old, merged, "component", hot_values(old, "component"), "left").select("record", up, "split")
+        fresh = seen.where("component is null").select("record").distinct().withColumn("component", F.col("record")).join(merged, "component").select("record", F.col("up").alias("component"), F.lit(None).cast("string").alias("split"))
+        both = cut(kept.unionByName(fresh))
+        comp = both.select("record", "component")
+        news = mine.where("key is not null").join(merged.select(F.col("component").alias("record"), "up"), "record").select(F.col("up").alias("component"), "key")
+        keys = looked_up(held, merged, "component", hot_values(held, "component"), "left").select(up, "key").unionByName(news).distinct()
+        new = assign(comp, proportions, both.where("split is not null").select("record", "split"), seed)
+        # what was quarantined stays so, and what joins it
+        bad = both.where(F.col("split") == QUARANTINE).select("component").distinct().withColumn("bad", F.lit(True))
+        new = looked_up(new, bad, "component", hot_values(new, "component"), "left").select("record", "component", F.when(F.col("bad"), QUARANTINE).otherwise(F.col("split")).alias("split"))
+    keys.write.mode("overwrite").parquet(f"{folder}/keys")
+    new.write.mode("overwrite").parquet(f"{folder}/records")
+    return spark.read.parquet(f"{folder}/records")

@@ -70,3 +70,30 @@ def test_state(spark, tmp_path):
         assert third[1][1] == third[6][1] == third[other][1] == s.QUARANTINE
         fourth = {r.record: r.split for r in s.update_state(spark, path, frame([(8, "a"), (1, "a")])).collect()}
         assert fourth[8] == fourth[1] == s.QUARANTINE
+
+
+def test_state_knows_its_keys(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    frame = lambda rows: spark.createDataFrame(rows, "record long, key string")
+    s.update_state(spark, path, frame([(1, "a"), (2, "a"), (3, "b")]))
+    (tmp_path / "state" / "state-00000001" / "records").mkdir(parents=True)  # a run that failed
+    new = {r.record: (r.component, r.split) for r in s.update_state(spark, path, frame([(9, "a"), (0, "b")])).collect()}
+    assert new[9] == new[1] == new[2] and new[0] == new[3] and new[3][0] == 0
+    s.drop_state(spark, path)
+    assert s.load_state(spark, path) is None
+
+
+def test_increments_are_one_run(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(b, f"{rng.randrange(220)}") for b in range(200) for _ in range(2)] + [(b, "hot") for b in range(0, 200, 7)] + [(300, None)]
+    rng.shuffle(rows)
+    frame = lambda rows: spark.createDataFrame(rows, "record long, key string")
+    path = f"file://{tmp_path}/state"
+    for a in range(0, len(rows), 150):
+        got = s.update_state(spark, path, frame(rows[a : a + 150]))
+    want = {(r.record, r.component) for r in s.components(frame(rows)).collect()}
+    assert {(r.record, r.component) for r in got.collect()} == want
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.component, set()).add(r.split)
+    assert all(len(v) == 1 for v in by.values())
