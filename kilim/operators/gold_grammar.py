@@ -34,7 +34,9 @@ WHOLE = re.compile(r"[0-9]*[1-9][0-9]*")
 CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\x9f]")
 ANCHOR = re.compile(r'(?:"?[0-9]+"?,|"?"?,"?(?:SentenceID|MatrixLang|EmbedLang)"?,|,,,\r?$)', re.M)
 
-PARSED = "kind string, token long, item string, label string, gloss string, reason string, at int, detail string"
+PARSED = "kind string, token long, item string, label string, gloss string, reason string, at int, detail string, long_token string"
+"""token is null and long_token holds the digits of a Token of more than LONG digits."""
+LONG = 18
 
 
 class Syntax(Exception):
@@ -53,6 +55,7 @@ class Record(NamedTuple):
     reason: str | None
     at: int | None
     detail: str | None
+    long_token: str | None = None
 
 
 class Parser:
@@ -120,13 +123,14 @@ def typed(fields: list[tuple[str, int]]) -> Record:
             raise Syntax("VALUE", at + bad.start(), "control character")
     (token, t_at), (item, i_at), (label, l_at), (gloss, _) = fields
     if token.strip():
-        if not WHOLE.fullmatch(token) or len(token) > 18:
+        if not WHOLE.fullmatch(token):
             raise Syntax("VALUE", t_at, "Token is no positive whole number")
         if not item.strip():
             raise Syntax("VALUE", i_at, "blank Item")
         if label not in LABELS:
             raise Syntax("VALUE", l_at, "unknown Label")
-        return Record("token", int(token), item, label, gloss, None, None, None)
+        short = len(token) <= LONG
+        return Record("token", int(token) if short else None, item, label, gloss, None, None, None, None if short else token)
     if not (item.strip() or label.strip() or gloss.strip()):
         return Record("blank", None, "", "", "", None, None, None)
     if item not in META_LABELS:
@@ -157,6 +161,7 @@ def parse_file(text: str | None) -> Iterator[tuple[int, Record]]:
     After QUOTING the parser goes on at the next anchor line that itself reads as a record.
     """
     p = Parser(text or "")
+    quotes: Quotes | None = None
     while p.pos < len(p.text):
         start = p.pos
         try:
@@ -166,24 +171,55 @@ def parse_file(text: str | None) -> Iterator[tuple[int, Record]]:
         except Syntax as e:
             yield start, failed(e)
             if e.reason == "QUOTING":
-                p.pos = resume(p.text, start)
-
-
-def resume(text: str, start: int) -> int:
+                quotes = quotes or Quotes(p.text)
+                p.pos = resume(quotes, start)
+
+
+class Quotes:
+    """Where quoted fields close in a text, worked out once from its end to its start, so that
+    trials at many anchors stay linear."""
+
+    def __init__(self, text: str):
+        self.text = text
+        at = [m.start() for m in re.finditer('"', text)]
+        self.close: dict[int, int] = {}
+        """The closing quote of a field that opens at a quote; missing if it never ends."""
+        for i in range(len(at) - 2, -1, -1):
+            if i + 2 < len(at) and at[i + 2] == at[i + 1] + 1:  # a doubled quote inside
+                if at[i + 2] in self.close:
+                    self.close[at[i]] = self.close[at[i + 2]]
+            else:
+                self.close[at[i]] = at[i + 1]
+
+    def shaped(self, pos: int) -> bool:
+        """A record of four fields stands at pos, as far as quotes and commas tell."""
+        text, stop = self.text, len(self.text)
+        for k in range(4):
+            if text.startswith('"', pos):
+                if pos not in self.close:
+                    return False
+                pos = self.close[pos] + 1
+            else:
+                found = PLAIN_FIELD.match(text, pos)
+                pos = found.end()
+            last = pos >= stop or text[pos] == "\n" or text.startswith("\r\n", pos) or (text[pos] == "\r" and pos + 1 == stop)
+            if last or text[pos] != ",":
+                return last and k == 3
+            pos += 1
+        return False
+
+
+PLAIN_FIELD = re.compile(r'(?:[^",\r\n]|\r(?!\n|\Z))*')
+
+
+def resume(quotes: Quotes, start: int) -> int:
     """Offset of the first validated anchor after the line that begins at start."""
-    line = text.find("\n", start)
+    line = quotes.text.find("\n", start)
     while line >= 0:
-        if ANCHOR.match(text, line + 1):
-            trial = Parser(text)
-            trial.pos = line + 1
-            try:
-                typed(trial.record())
-                return line + 1
-            except Syntax as e:
-                if e.reason == "VALUE":  # its shape is that of a record
-                    return line + 1
-        line = text.find("\n", line + 1)
-    return len(text)
+        if ANCHOR.match(quotes.text, line + 1) and quotes.shaped(line + 1):
+            return line + 1
+        line = quotes.text.find("\n", line + 1)
+    return len(quotes.text)
 
 
 def parse_lines(df: DataFrame, raw: str = "raw_line") -> DataFrame:
@@ -212,15 +248,33 @@ def parse_files(df: DataFrame, text: str = "value", name: str | None = None) ->
     return df.select(key.alias("file"), F.col(text).alias("text")).mapInPandas(run, "file string, offset long, " + PARSED)
 
 
+FILE_LINES = 4096
+
+
+def parse_delivered_files(df: DataFrame, file: str = "file_name", number: str = "line_no", key: str = "line_id", raw: str = "raw_line") -> DataFrame:
+    """parse_files over the lines of each file put together again in their order.
+
+    A file of any size goes in parts of FILE_LINES line numbers, each of which begins with a
+    delivered record; `file` names the file and its part. Rows without a number are ordered by
+    key, null lines and repeats left out; lines without a file make up a file without a name.
+    """
+    rows = df.where(F.col(raw).isNotNull()).select(F.coalesce(F.col(file), F.lit("")).alias("name"), F.coalesce(F.col(number).cast("long"), F.col(key)).alias("no"), F.col(key).alias("id"), F.col(raw).alias("raw")).distinct()
+    part = F.floor(F.col("no") / FILE_LINES)
+    lines = rows.groupBy("name", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("no", "id", "raw"))).alias("lines"))
+    return parse_files(lines.select(F.concat_ws("#", "name", "part").alias("name"), F.array_join("lines.raw", "\n").alias("value")), "value", "name")
+
+
 def bad_lines(df: DataFrame, key: str = "line_id", raw: str = "raw_line") -> DataFrame:
     """(key, reason) of the records that don't parse, once each."""
     return parse_lines(df.select(key, raw)).where("parsed.reason is not null").select(key, F.col("parsed.reason").alias("reason")).distinct()
 
 
-def good_lines(df: DataFrame, key: str = "line_id", raw: str = "raw_line") -> DataFrame:
-    """(key, kind, token, item, label, gloss) of the records that parse, once each."""
+def good_lines(df: DataFrame, key: str = "line_id", raw: str = "raw_line", long_tokens: bool = False) -> DataFrame:
+    """(key, kind, token, item, label, gloss) of the records that parse, once each; with
+    long_tokens also long_token, see PARSED."""
+    extra = ("long_token",) if long_tokens else ()
     p = parse_lines(df.select(key, raw)).where("parsed.reason is null")
-    return p.select(key, *(F.col(f"parsed.{c}").alias(c) for c in ("kind", "token", "item", "label", "gloss"))).distinct()
+    return p.select(key, *(F.col(f"parsed.{c}").alias(c) for c in ("kind", "token", "item", "label", "gloss", *extra))).distinct()
 
 
 def located_errors(df: DataFrame, key: str = "line_id", raw: str = "raw_line") -> DataFrame:

@@ -32,9 +32,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_loaded")
 def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return gg.good_lines(table(spark, d, "gold_lines"))
+    return gg.good_lines(table(spark, d, "gold_lines"), long_tokens=True)
 
 
 @query("p7_errors")
 def p7_errors(spark: SparkSession, d: str) -> DataFrame:
     return gg.located_errors(table(spark, d, "gold_lines"))
+
+
+@query("p7_files")
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the whole files, with recovery after broken quotes."""
+    return gg.parse_delivered_files(table(spark, d, "gold_lines"))

@@ -56,3 +56,18 @@ def test_frames(spark):
     assert gg.bad_lines(df.limit(0)).count() == 0
     files = spark.createDataFrame([("f", "1,a,TR,\n,,,\n"), ("g", None)], "name string, value string")
     assert gg.parse_files(files, "value", "name").count() == 2
+
+
+def test_long_tokens_and_recovery_of_files(spark):
+    r = gg.parse_line("1234567890123456789,abc,TR,")
+    assert (r.kind, r.token, r.long_token, r.reason) == ("token", None, "1234567890123456789", None)
+    good = [f"{i},söz{i},TR,\r" for i in range(1, 40)]
+    rows = [("a.csv", i, i, x) for i, x in enumerate(good)] + [("a.csv", 40, 40, '7,"açık,TR,'), ("a.csv", 41, 41, "8,son,EN,"), ("a.csv", 41, 41, "8,son,EN,"), ("a.csv", gg.FILE_LINES, 42, "9,öbür,EN,"), (None, None, 43, ",,,"), ("a.csv", 44, 44, None)]
+    got = gg.parse_delivered_files(spark.createDataFrame(rows, "file_name string, line_no int, line_id long, raw_line string")).collect()
+    assert sorted((r.token or 0) for r in got if r.reason is None) == sorted([0, *range(1, 40), 8, 9])
+    assert [(r.file, r.reason) for r in got if r.reason] == [("a.csv#0", "QUOTING")]
+
+
+def test_resume_is_linear():
+    text = '1,"açık,TR,\n' * 30_000 + "2,son,EN,"
+    assert [r.token for _, r in gg.parse_file(text) if r.kind] == [2]
