@@ -174,29 +174,38 @@ def explain(token: Column, promote: Column, score: Column, evidence: Column, rea
     return F.concat(F.lit("Token: "), token, F.lit("\nCurrent: UID\nProposed: "), F.when(promote, "TR").otherwise("UID"), F.lit("\nScore: "), score.cast("string"), F.lit("\nEvidence:\n"), lines, F.lit("\nDecision: "), F.when(promote, "promote").otherwise("retain"), F.lit(" ("), reason, F.lit(")"))
 
 
+def unsure(gated: DataFrame) -> DataFrame:
+    """A model without an opinion, so that the passes behind the reranker stand alone; it is
+    asked about no row."""
+    return gated.withColumn("prob", F.lit(None).cast("double"))
+
+
 def passes(labelled: DataFrame, votes: DataFrame, look: Lookups, model=None, threshold: float = 0.85, keys: tuple[str, ...] = ("doc_id", "sent_no"), config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(tokens with rule_label, label, promoted_by; votes), written between the passes: the reranker, the residual verbal
     pass and the resolver in turn, each over the label as it then stands; the resolver uses the
     matrix language from before. Sentences are voted anew where a label changed.
 
-    model: a function of gated rows that adds `prob`, or None to leave the reranker out.
+    model: a function of gated rows that adds `prob`. Without one nothing is relabelled, by any
+    of the passes: labels and votes stay as they are.
     """
     df = cut(labelled).withColumnRenamed("label", "rule_label")
     votes = cut(votes)
-    step = df.withColumn("label", F.col("rule_label")).withColumn("prob", F.lit(None).cast("double"))
-    if model is not None:
-        step = model(gate(step.drop("prob"), look))
-        up = F.coalesce(F.col("is_candidate") & (F.col("prob") >= threshold), F.lit(False))
-        step = step.withColumn("label", F.when(up, "MIXED").otherwise(F.col("label"))).drop("is_candidate", "candidate_reason", "analysis")
+    step = df.withColumn("label", F.col("rule_label"))
+    if model is None:
+        none = {c: F.lit(None).cast(k) for c, k in (("prob", "double"), ("promoted_by", "string"), ("residual_reason", "string"), ("resolver_score", "int"), ("resolver_reason", "string"))}
+        return step.withColumns(none), votes.withColumn("changed", F.lit(False))
+    step = unsure(step.withColumns({"is_candidate": F.lit(False), "candidate_reason": F.lit(None), "analysis": F.lit(None)})) if model is unsure else model(gate(step, look))
+    up = F.coalesce(F.col("is_candidate") & (F.col("prob") >= threshold), F.lit(False))
+    step = step.withColumn("label", F.when(up, "MIXED").otherwise(F.col("label"))).drop("is_candidate", "candidate_reason", "analysis")
     by = F.when(F.col("label") != F.col("rule_label"), "reranker")
     step = step.withColumn("promoted_by", by)
-    uid = lambda d: d.where("label = 'UID'").select("token").distinct()
-    r = cut(residual(uid(step), look).select("token", F.col("promote").alias("r_up"), F.col("reason").alias("residual_reason")))
+    forms = lambda d, *labels: d.where(F.col("label").isin(*labels)).select("token").distinct()
+    r = cut(residual(forms(step, "UID", "TR"), look).select("token", F.col("promote").alias("r_up"), F.col("reason").alias("residual_reason")))
     step = step.join(r, "token", "left")
-    up = (F.col("label") == "UID") & F.coalesce("r_up", F.lit(False))
+    up = F.col("label").isin("UID", "TR") & F.coalesce("r_up", F.lit(False))
     step = step.withColumns({"promoted_by": F.when(up, "residual").otherwise(F.col("promoted_by")), "label": F.when(up, "MIXED").otherwise(F.col("label"))}).drop("r_up")
     step = step.join(votes.select(*keys, F.col("matrix_lang").alias("__m")), list(keys), "left")
-    d = cut(resolver(uid(step), look).withColumnRenamed("reason", "why"))
+    d = cut(resolver(forms(step, "UID"), look).withColumnRenamed("reason", "why"))
     step = step.join(d, "token", "left")
     step = decide(step.withColumnRenamed("why", "reason").withColumn("eligible", F.coalesce("eligible", F.lit(False)) & (F.col("label") == "UID")), F.col("__m"))
     up = (F.col("label") == "UID") & F.coalesce("promote", F.lit(False))

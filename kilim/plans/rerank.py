@@ -121,15 +121,15 @@ def uid_resolver(spark: SparkSession, d: str) -> DataFrame:
 
 
 PASSES = f"""final as (select l.doc_id, l.sent_no, l.pos, l.token, l.shape, l.label as rule_label, v.matrix_lang as old_matrix, v.embed_lang as old_embed, r.reason as residual_reason,
-  case when l.label = 'UID' and r.reason = 'promoted' then 'MIXED' when l.label = 'UID' and s.ok and s.trusted::int + s.chain::int + s.ortho::int >= 2 and s.score + (v.matrix_lang = 'TR')::int >= 7 then 'TR' else l.label end as label,
+  case when l.label in ('UID', 'TR') and r.reason = 'promoted' then 'MIXED' when l.label = 'UID' and s.ok and s.trusted::int + s.chain::int + s.ortho::int >= 2 and s.score + (v.matrix_lang = 'TR')::int >= 7 then 'TR' else l.label end as label,
   case when l.label = 'UID' and coalesce(r.reason <> 'promoted', true) then case when s.ok then s.score + (v.matrix_lang = 'TR')::int else 0 end end as resolver_score
-  from labs l join votes v using (doc_id, sent_no) left join resid r on r.token = l.token and l.label = 'UID' left join decided s on s.token = l.token and l.label = 'UID')"""
+  from labs l join votes v using (doc_id, sent_no) left join resid r on r.token = l.token and l.label in ('UID', 'TR') left join decided s on s.token = l.token and l.label = 'UID')"""
 
 
 def relabelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lab.Lookups]:
     look = lookups(spark, d)
     tok, votes = lab.annotate(corpus(spark, d), look)
-    return *rr.passes(tok, votes, look), look
+    return *rr.passes(tok, votes, look, model=rr.unsure), look
 
 
 @query("relabel_passes", f"with {sql_labels()}, {VOTES}, {FORMS}, {CANDS}, {RES}, {RESOLVE}, {PASSES} select rule_label, label, count(*) as n from final group by 1, 2")

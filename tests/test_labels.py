@@ -92,7 +92,9 @@ def test_gate_features_and_recovery(spark, look):
 def test_passes_and_confidence(spark, look):
     docs = spark.createDataFrame([("d", "kitap uploadlamışım evlerimde amazing 12"), ("e", "amazing boss qqq")], "doc_id string, text string")
     tok, votes = lab.annotate(docs, look)
-    out, v = rr.passes(tok, votes, look)
+    same, v = rr.passes(tok, votes, look)
+    assert same.where("label <> rule_label or promoted_by is not null").count() == 0 and v.where("changed").count() == 0
+    out, v = rr.passes(tok, votes, look, model=rr.unsure)
     got = {r.token: (r.rule_label, r.label, r.promoted_by) for r in out.collect()}
     assert got["uploadlamışım"] == ("UID", "MIXED", "residual")
     assert got["kitap"] == ("TR", "TR", None)
