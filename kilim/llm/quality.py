@@ -8,7 +8,8 @@ greater part of the characters names the document's.
 
 Counts over the whole corpus (document frequency of words) come from one aggregation over
 all documents; only words in a fixed share of them are kept, so that their number is bounded
-by (distinct words per document) / share whatever the corpus' size.
+by (distinct words per document) / share whatever the corpus' size. The prose profiles are
+aggregated over all prose texts in the same way, however many there are.
 
 Nulls and blank texts have zero counts, null shares and no kind. Whole texts are read.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,9 +30,8 @@ from kilim.session import spread
 COMMON_SHARE = 0.0005
 """A word is common if this share of the documents hold it, and at least COMMON_LEAST."""
 COMMON_LEAST = 3
-COMMON_MOST = 50_000
-"""Of the common words the ones in most documents; far above what texts of a few thousand
-distinct words can reach at COMMON_SHARE."""
+FUNCTION_SHARE, FUNCTION_LEAST = 0.08, 2
+"""A function word stands in this share of a language's prose texts, and in so many of them."""
 
 CHAR_CLASSES = ("vowel", "consonant", "upper", "digit", "space", "stop", "delimiter", "joint", "symbol", "picture")
 WORD_CLASSES = ("function", "common", "unknown", "number", "mixed")
@@ -179,7 +179,7 @@ class Profiles:
         function: set[str] = set()
         for texts in by.values():
             df = Counter(w for t in texts for w in set(words_of(t)))
-            function |= {w for w, n in df.items() if n >= max(2, 0.08 * len(texts))}
+            function |= {w for w, n in df.items() if n >= max(FUNCTION_LEAST, FUNCTION_SHARE * len(texts))}
         f = frozenset(function)
         return cls([(shares(char_counts("\n".join(t))), shares(word_counts("\n".join(t), f, common))) for t in by.values()], f, common)
 
@@ -318,16 +318,67 @@ def document_frequency(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def common_words(df: DataFrame, text: str = "text") -> frozenset:
-    """Words in COMMON_SHARE of all texts and in COMMON_LEAST of them, see COMMON_MOST."""
+    """Words in COMMON_SHARE of all texts and in COMMON_LEAST of them."""
     least = max(COMMON_LEAST, math.ceil(COMMON_SHARE * df.count()))
-    top = document_frequency(df, text).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(COMMON_MOST)
-    return frozenset(r.word for r in top.select("word").toLocalIterator())
+    return frozenset(r.word for r in document_frequency(df, text).where(F.col("n") >= least).select("word").toLocalIterator())
+
+
+def summed(prose: DataFrame, count: Callable[[list[str]], Counter]) -> DataFrame:
+    """(lang, part, key, n): what count gives for (part, key) of texts of one language, summed
+    over all rows of (lang, text); each batch is counted before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b["lang"], b["text"]):
+                by.setdefault(lang, []).append(text)
+            rows = [(lang, *k, n) for lang, texts in by.items() for k, n in count(texts).items()]
+            yield pd.DataFrame(rows, columns=["lang", "part", "key", "n"])
+
+    counts = spread(prose).mapInPandas(run, "lang string, part string, key string, n long")
+    return counts.groupBy("lang", "part", "key").agg(F.sum("n").alias("n"))
+
+
+def chars_and_words(texts: list[str]) -> Counter:
+    """Characters by class, and in how many of the texts each word stands."""
+    out: Counter = Counter()
+    for t in texts:
+        out.update({("char", k): n for k, n in char_counts(t).items()})
+        out.update(("word", w) for w in set(words_of(t)))
+    return out
 
 
 def profiles_of(docs: DataFrame, prose: DataFrame, text: str = "text") -> Profiles:
-    """prose: (lang, text), a small clean table of fixed size (at most 10,000 rows are taken)."""
-    samples = [(r.lang, r.text) for r in prose.select("lang", "text").orderBy("text").limit(10_000).collect()]
-    return Profiles.of(samples, common_words(docs, text))
+    """Profiles.of over all rows of prose (lang, text), without bringing texts to the driver: it
+    gets the counts of classes and the function words of each language."""
+    common = common_words(docs, text)
+    prose = prose.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = {r.lang: r.n for r in prose.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not texts:
+        return Profiles([], frozenset(), common)
+    least = F.create_map(*(F.lit(x) for k, n in texts.items() for x in (k, float(max(FUNCTION_LEAST, FUNCTION_SHARE * n)))))
+    kept = summed(prose, chars_and_words).where((F.col("part") == "char") | (F.col("n") >= least[F.col("lang")]))
+    # texts are joined by line breaks, see Profiles.of
+    chars = {k: Counter(space=n - 1) for k, n in texts.items()}
+    function = set()
+    for r in kept.toLocalIterator():
+        if r.part == "char":
+            chars[r.lang][r.key] += r.n
+        else:
+            function.add(r.key)
+    sent = prose.sparkSession.sparkContext.broadcast(Profiles([], frozenset(function), common))
+
+    def pieces(texts: list[str]) -> Counter:
+        out: Counter = Counter()
+        for t in texts:
+            out.update({("piece", k): n for k, n in sent.value.word_counts(t).items()})
+        return out
+
+    words: dict[str, Counter] = {k: Counter() for k in texts}
+    for r in summed(prose, pieces).collect():
+        words[r.lang][r.key] = r.n
+    by = [({c: chars[k][c] for c in CHAR_CLASSES if chars[k][c]}, {c: words[k][c] for c in WORD_CLASSES if words[k][c]}) for k in sorted(texts)]
+    return Profiles([(shares(c), shares(w)) for c, w in by], frozenset(function), common)
 
 
 def statistics(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -55,3 +55,25 @@ def test_frame(spark):
     assert q.statistics(df.limit(0), P).count() == 0
     assert q.common_words(df.limit(0)) == frozenset()
     assert {r.word: r.n for r in q.document_frequency(df).collect()}["drums"] == 1
+
+
+def test_profiles_read_all_prose(spark):
+    # in the order of the texts, Turkish stands behind 10,000 rows of English
+    english = spark.range(10_010).selectExpr("'en' as lang", "concat('An old man cleaned kitchen ', id, if(id % 9 = 0, ' quietly', ' today'), '.') as text")
+    rest = [("tr", "Öğretmen sıcak köylerde kimseyi bulmadı."), ("tr", "Öğretmen eski tavanı\nsessizce anlattı 🎉"), (None, "zz 12 | x9"), ("tr", None), ("de", "")]
+    prose = english.unionByName(spark.createDataFrame(rest, "lang string, text string"))
+    docs = spark.createDataFrame([(t,) for _, t in PROSE], "text string")
+    got = q.profiles_of(docs, prose)
+    want = q.Profiles.of([(r.lang, r.text) for r in prose.collect()], q.common_words(docs))
+    key = repr
+    assert sorted(([sorted(c.items()), sorted(w.items())] for c, w in got.prose), key=key) == sorted(([sorted(c.items()), sorted(w.items())] for c, w in want.prose), key=key)
+    assert (got.function, got.common) == (want.function, want.common)
+    assert "öğretmen" in got.function and "quietly" in got.function and len(got.prose) == 4
+    assert q.profiles_of(docs, prose.limit(0)).prose == []
+
+
+def test_common_words_without_limit(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in "xyz"]
+    df = spark.createDataFrame([(" ".join(words),)] * 3, "text string")
+    assert q.common_words(df) == frozenset(words) and len(words) > 50_000
